@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import suffix
+from emberlog.llm import packing, pieces, suffix, tokens
 from emberlog.llm.common import table
 
 
@@ -15,8 +15,27 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.span_digest(suffix.suffix_dedup(docs))
 
 
+def _tokenizer(name: str) -> str:
+    """Place of a public vocabulary file; the same on all machines of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=49407)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digest(packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_codes(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup,)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op4_packing, op5_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
