@@ -48,18 +48,32 @@ def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), counts
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row exchanges; no threads of a numeric library run in the driver."""
+    m = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(m)])
+    for k in range(m):
+        best = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, best]] = work[[best, k]]
+        work[k] /= work[k, k]
+        rates = work[:, k].copy()
+        rates[k] = 0
+        work -= np.outer(rates, work[k])
+    return work[:, m:]
+
+
 def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and multiplicities of a basic solution of min sum(x), patterns @ x = demand, x >= 0."""
     m = len(size)
     columns = np.diag(capacity // size).astype(float)
     inverse = np.diag(1.0 / np.diag(columns)) if m else np.zeros((0, 0))
-    x = inverse @ demand
+    x = (inverse * demand).sum(axis=1)
     for step in range(most if m else 0):
         duals = inverse.sum(axis=0)
         worth, pattern = knapsack(duals, size, capacity)
         if worth <= 1 + 1e-7:
             break
-        direction = inverse @ pattern
+        direction = (inverse * pattern).sum(axis=1)
         up = np.flatnonzero(direction > 1e-9)
         ratio = x[up] / direction[up]
         leave = up[ratio.argmin()]
@@ -71,8 +85,8 @@ def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, most:
         inverse -= np.outer(direction, pivot)
         inverse[leave] = pivot
         if step % 100 == 99:  # keep rounding errors small
-            inverse = np.linalg.inv(columns)
-            x = np.maximum(inverse @ demand, 0)
+            inverse = inverted(columns)
+            x = np.maximum((inverse * demand).sum(axis=1), 0)
     return columns.astype(np.int64), x
 
 
