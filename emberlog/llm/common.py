@@ -79,6 +79,47 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             at = end
 
 
+def lots(batches: Iterator[pa.RecordBatch], keys: list[str], weight: str | None = None, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by the keys, lots of about `most` rows (or bytes of the column `weight`) that hold whole groups."""
+
+    def of(batch: pa.RecordBatch, row: int) -> tuple:
+        return tuple(batch.column(batch.schema.get_field_index(k))[row].as_py() for k in keys)
+
+    def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches if weight is None else sliced(batches, weight, max(1, most // 4)):
+        if not batch.num_rows:
+            continue
+        if held and size >= most and of(batch, batch.num_rows - 1) != (last := of(held[-1], held[-1].num_rows - 1)):
+            low, high = 0, batch.num_rows  # where the last group of what is held ends
+            while low < high:
+                middle = (low + high) // 2
+                low, high = (middle + 1, high) if of(batch, middle) == last else (low, middle)
+            if low:
+                held.append(batch.slice(0, low))
+                batch = batch.slice(low)
+            yield joined(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.num_rows if weight is None else batch.column(batch.schema.get_field_index(weight)).nbytes
+    if held:
+        yield joined(held)
+
+
+def opens_of(*columns: np.ndarray) -> np.ndarray:
+    """Where groups of equal neighbours begin."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit values."""
     x = x ^ (x >> np.uint64(32))
