@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,21 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def words_of(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Words between ASCII white space: their numbers among the distinct words, these, and the words of each text."""
+    texts = texts.fill_null("")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    coded = lists.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    number = np.asarray(coded.indices).astype(np.int64)
+    n = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+    if "" in distinct:  # white space at an end of a text parts off an empty word
+        keep = number != distinct.index("")
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[keep], minlength=len(n)).astype(np.int64)
+        number = number[keep]
+    return number, distinct, n
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of each part hold about `most` bytes (one row at least)."""
     for batch in batches:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -143,7 +144,7 @@ class Labeller:
         if len(self.index) > 400_000 or self.bytes > 8 << 20:
             self._clear()
         n = np.fromiter(map(len, texts), np.int64, len(texts))
-        number = np.fromiter((x for t in texts for x in map(self.index.__getitem__, t)), np.int64, int(n.sum()))
+        number = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64, int(n.sum()))
         self._learn()
         return self.viterbi(self.score, number, n), self.size[number]
 

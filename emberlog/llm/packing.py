@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import sliced, written
-from emberlog.llm.tokens import WordTokenizer, with_end
+from emberlog.llm.tokens import with_end, word_tokenizer
 
 LENGTH, CLASSES, LOT = 2048, 128, 1024
 
@@ -191,7 +191,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id
     unit = length // CLASSES
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokenizer(tokenizer)
+        encode = word_tokenizer(tokenizer)
         small = encode.tokenizer.get_vocab_size() <= 1 << 16
         pid, row, full, ranks = TaskContext.get().partitionId(), 0, 0, np.zeros(CLASSES + 1, np.int64)
         for batch in sliced(batches, "text"):

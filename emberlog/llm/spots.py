@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import mix64, partitions_of, ranges, sliced
+from emberlog.llm.common import buffers, mix64, partitions_of, ranges, sliced, words_of
 from emberlog.llm.tokens import _Index
 
 CHAIN = 2
@@ -46,8 +46,8 @@ class Spotter:
 
         fresh, self.index.fresh = self.index.fresh, []
         word, kind = np.zeros(len(fresh), np.uint64), np.zeros(len(fresh), np.int8)
-        for k, raw in enumerate(fresh):
-            text = raw.decode("utf-8", "replace").lower()
+        for k, text in enumerate(fresh):
+            text = text.lower()
             a, b = 0, len(text)
             while a < b and not text[a].isalnum():
                 a += 1
@@ -59,13 +59,12 @@ class Spotter:
         self.word, self.kind = np.append(self.word, word), np.append(self.kind, kind)
         self.bytes += sum(map(len, fresh))
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All signatures, ordered and distinct within each text, and the size of each set."""
         if len(self.index) > 400_000 or self.bytes > 16 << 20:
             self._clear()
-        chunks = [t.split() for t in texts]
-        n = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        number = np.fromiter((x for t in chunks for x in map(self.index.__getitem__, t)), np.int64, int(n.sum()))
+        number, distinct, n = words_of(texts)
+        number = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[number]
         self._learn()
         doc, kind = np.repeat(np.arange(len(n)), n), self.kind[number]
         number, doc, kind = number[kind > 0], doc[kind > 0], kind[kind > 0]
@@ -83,8 +82,8 @@ class Spotter:
         # a text without a chain is the set of its words, one without words is itself
         bare = np.bincount(of, minlength=len(n)) == 0
         alone = np.flatnonzero(bare[doc]) if len(doc) else np.zeros(0, np.int64)
-        none = np.flatnonzero(bare & (np.bincount(doc, minlength=len(n)) == 0) & (np.fromiter(map(len, texts), np.int64, len(texts)) > 0))
-        own = np.array([int.from_bytes(hashlib.sha256(texts[k]).digest()[:8], "little") for k in none], np.uint64)
+        none = np.flatnonzero(bare & (np.bincount(doc, minlength=len(n)) == 0) & (np.diff(buffers(texts)[1]) > 0))
+        own = np.array([int.from_bytes(hashlib.sha256(texts[int(k)].as_py().encode()).digest()[:8], "little") for k in none], np.uint64)
         h = np.concatenate([h, mix64(word[alone] + np.uint64(1)), own]) >> np.uint64(32)
         of = np.concatenate([of, doc[alone], none])
         order = np.lexsort((h, of))
@@ -160,15 +159,15 @@ def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             edited = []
             for k in of:
                 text, third = rows[k][3], len(rows[k][3]) // 3
-                edited.append((text[: len(text) - third] + rows[k + 1][3][:third]).encode())
-            sets = spotter([rows[k][3].encode() for k in need])
+                edited.append(text[: len(text) - third] + rows[k + 1][3][:third])
+            sets = spotter(pa.array([rows[k][3] for k in need], pa.large_string()))
             mine = _take(sets, np.array([place[k] for k in of]))
             after = _take(sets, np.array([place[k + 1] for k in of]))
-            other = spotter(edited)
+            other = spotter(pa.array(edited, pa.large_string()))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([rows[k][2] for k in of], pa.int64()), pa.array([len(rows[k][3]) for k in of], pa.int64()),
-                    pa.array([hashlib.sha256(e).hexdigest() for e in edited]), pa.array(_printed(mine)), pa.array(_printed(other)),
+                    pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]), pa.array(_printed(mine)), pa.array(_printed(other)),
                     pa.array(likeness(mine, other)), pa.array(likeness(mine, after)),
                 ],
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],

@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import buffers, fresh_path, ranges, sliced, written
+from emberlog.llm.common import fresh_path, ranges, sliced, words_of, written
 
 #: Distinct chunks, and bytes of them, that a Python worker remembers.
-CACHED_CHUNKS, CACHED_BYTES = 400_000, 16 << 20
+CACHED_CHUNKS, CACHED_BYTES = 600_000, 16 << 20
+_STOPS = frozenset(".,;:!?")
 
 
 class _Index(dict):
@@ -59,34 +64,49 @@ class ChunkCache:
         self.ends[self.count : self.count + len(fresh)] = used + np.cumsum(sizes)
         self.count += len(fresh)
 
-    def ids(self, chunks: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the texts as lists of chunks: all ids, ids of each text, and the chunk numbers."""
+    def ids(self, chunks: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts as lists of chunks: all ids, and the ids of each text."""
+        each = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        return self._gathered(chain.from_iterable(chunks), int(each.sum()), None, each)
+
+    def listed(self, chunks: list, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of all chunks in one list, and the chunks of each text."""
+        return self._gathered(iter(chunks), len(chunks), None, each)
+
+    def coded(self, number: np.ndarray, distinct: list, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of chunks given by number among the distinct ones, and the chunks of each text."""
+        return self._gathered(iter(distinct), len(distinct), number, each)
+
+    def _gathered(self, keys: Iterator, count: int, number: np.ndarray | None, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > CACHED_CHUNKS or self.bytes > CACHED_BYTES:
             self._clear()
-        each = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        number = np.fromiter((x for text in chunks for x in map(self.index.__getitem__, text)), np.int64, int(each.sum()))
+        known = np.fromiter(map(self.index.__getitem__, keys), np.int64, count)
         self._learn()
+        number = known if number is None else known[number]
         ends = self.ends[: self.count]
         begins = np.append(0, ends[:-1])[: self.count]
         sizes = (ends - begins)[number]
         flat = self.flat[ranges(begins[number], sizes)]
         total = np.append(0, np.cumsum(sizes))
-        bounds = np.append(0, np.cumsum(each))
-        return flat, np.diff(total[bounds]), number
+        return flat, np.diff(total[np.append(0, np.cumsum(each))])
 
 
 class WordTokenizer:
     """Texts to ids exactly as a tokenizers file does that drops white space, by chunks between ASCII white space.
 
-    No token of such a tokenizer reaches over white space, so the ids of a text are those of its chunks,
-    which are encoded many at a time with a special token between them.
+    No token of such a tokenizer reaches over white space, nor from a letter or digit to a stop behind it,
+    so the ids of a text are those of such chunks.  New chunks are encoded many at a time: words of
+    letters alone between spaces, as their last id tells where a word ends, others between special tokens.
     """
 
     def __init__(self, path: str, specials_are_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # words that are lower case and composed already need the merges alone
+        self.light = Tokenizer(self.tokenizer.model)
+        self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.between = self.specials[0]
         self.between_id = self.tokenizer.token_to_id(self.between)
@@ -94,42 +114,72 @@ class WordTokenizer:
         if specials_are_text:
             self.plain = Tokenizer.from_file(path)
             self.plain.encode_special_tokens = True
-        self.cache = ChunkCache(self._encode)
-
-    def _one(self, chunk: bytes) -> list[int]:
-        return (self.plain or self.tokenizer).encode(chunk.decode(), add_special_tokens=False).ids
-
-    def _encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        marks = [s.encode() for s in self.specials]
-        odd = [k for k, c in enumerate(chunks) if b"<" in c and any(m in c for m in marks)]
-        joiner = f" {self.between} ".encode()
-        lots = [chunks[k : k + 2000] for k in range(0, len(chunks), 2000)]
-        out = [np.array(x.ids, np.uint32) for lot in lots for x in self.tokenizer.encode_batch_fast([joiner.join([*lot, b""]).decode()], add_special_tokens=False)] if not odd else []
-        if odd:
-            return self._apart(chunks, set(odd))
-        ids = np.concatenate(out)
-        cut = np.flatnonzero(ids == self.between_id)
-        sizes = np.diff(np.append(-1, cut)) - 1
-        return np.delete(ids, cut), sizes
-
-    def _apart(self, chunks: list[bytes], odd: set[int]) -> tuple[np.ndarray, np.ndarray]:
-        rest, sizes_rest = self._encode([c for k, c in enumerate(chunks) if k not in odd]) if len(odd) < len(chunks) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        parts, sizes, at, r = [], [], 0, 0
-        for k, chunk in enumerate(chunks):
-            if k in odd:
-                ids = np.array(self._one(chunk), np.uint32)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words = ChunkCache(self._encode)
+        self.cache = ChunkCache(self._parted)
+
+    def _parted(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, a stop behind a letter or digit apart."""
+        parts: list[str] = []
+        count = np.ones(len(chunks), np.int64)
+        for k, c in enumerate(chunks):
+            if c[-1:] in _STOPS and (before := c[-2:-1]).isalnum() and before.isascii():
+                parts.append(c[:-1])
+                parts.append(c[-1])
+                count[k] = 2
             else:
-                ids = rest[at : at + sizes_rest[r]]
-                at, r = at + sizes_rest[r], r + 1
-            parts.append(ids)
-            sizes.append(len(ids))
-        return np.concatenate(parts), np.array(sizes, np.int64)
+                parts.append(c)
+        return self.words.listed(parts, count)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain: list[int] = []
+        rest: list[int] = []
+        marked: list[int] = []
+        for k, t in enumerate(texts):
+            if t.isalpha() and t == t.lower() and (t.isascii() or unicodedata.is_normalized("NFC", t)):
+                plain.append(k)
+            elif t:
+                (marked if "<" in t and any(m in t for m in self.specials) else rest).append(k)
+        sizes = np.zeros(len(texts), np.int64)
+        found: list[tuple[list[int], np.ndarray]] = []
+        if plain:
+            ids = self._joined(self.light, [texts[k] for k in plain], " ")
+            sizes[plain] = np.diff(np.append(-1, np.flatnonzero(self.ends_word[ids])))
+            found.append((plain, ids))
+        if rest:
+            ids = self._joined(self.tokenizer, [texts[k] for k in rest], f" {self.between} ")
+            cut = np.flatnonzero(ids == self.between_id)
+            sizes[rest] = np.diff(np.append(-1, cut)) - 1
+            found.append((rest, np.delete(ids, cut)))
+        for k in marked:
+            ids = np.array((self.plain or self.tokenizer).encode(texts[k], add_special_tokens=False).ids, np.uint32)
+            sizes[k] = len(ids)
+            found.append(([k], ids))
+        flat = np.zeros(int(sizes.sum()), np.uint32)
+        begin = np.cumsum(sizes) - sizes
+        for rows, ids in found:
+            flat[ranges(begin[rows], sizes[rows])] = ids
+        return flat, sizes
+
+    def _joined(self, tokenizer, texts: list[str], between: str) -> np.ndarray:
+        out = [np.zeros(0, np.uint32)]
+        for k in range(0, len(texts), 500):
+            got = tokenizer.encode_batch_fast([between.join([*texts[k : k + 500], ""])], add_special_tokens=False)
+            out.append(np.array(got[0].ids, np.uint32))
+        return np.concatenate(out)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        data, offsets = buffers(texts.fill_null(""))
-        raw = data.tobytes()
-        flat, sizes, _ = self.cache.ids([raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
-        return flat, sizes
+        # letters are lower-cased anyway, but a special token is only one as it stands
+        lower = not pc.any(pc.match_substring(texts.fill_null(""), "<|")).as_py()
+        return self.cache.coded(*words_of(texts, lower))
+
+
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str, specials_are_text: bool = False) -> WordTokenizer:
+    """One for a Python worker, whose tasks share what it has learned."""
+    return WordTokenizer(path, specials_are_text)
 
 
 def with_end(flat: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +205,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokenizer(tokenizer, specials_are_text=True)
+        encode = word_tokenizer(tokenizer, specials_are_text=True)
         fs, path = pafs.FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
         name = f"tokens-{TaskContext.get().partitionId():06d}.bin"
