@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MASK = 2**64 - 1
 _P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
@@ -67,7 +68,7 @@ def stream_id(service: str, host: str, env: str, extra: dict[str, str] | None =
     return h - 2**64 if h >= 2**63 else h
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _ids(service: pd.Series, host: pd.Series, env: pd.Series, labels: pd.Series) -> pd.Series:
     return pd.Series([stream_id(s, h, e, dict(x) if x is not None else {}) for s, h, e, x in zip(service, host, env, labels, strict=True)], dtype="int64")
 
