@@ -6,31 +6,52 @@ All but the last return the columns of `documents`; n_chars follows the text whe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import language, lines, minhash, packing, suffix
 from emberlog.llm.common import fresh_path, table
 from emberlog.llm.queries import _tokenizer
+from emberlog.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _shipped(stage: Stage) -> Stage:
+    """The stage, with this package on the executors."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def _documents(df: DataFrame) -> DataFrame:
     return df.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@_shipped
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts and texts without a letter."""
     model = language.learn(docs.where(~language.held_out()))
     return language.identify(docs, model).where("lang_pred <> 'und'").select(*COLUMNS)
 
 
+@_shipped
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts lines that many sites share; a document of nothing else goes."""
     return _documents(lines.spread_lines(docs)).where(F.trim("text") != "")
 
 
+@_shipped
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near-duplicates (five words, 0.8), one row of it."""
     kept = minhash.near_duplicates(docs, words=5, similar=80).where("kept").select("doc_id").distinct()
@@ -41,11 +62,13 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return single.unionByName(repeated).select(*COLUMNS)
 
 
+@_shipped
 def dedup_suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts every string of 200 bytes that also starts elsewhere; a document of nothing else goes."""
     return _documents(suffix.without_spans(suffix.suffix_dedup(docs))).where(F.trim("text") != "")
 
 
+@_shipped
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens: the pieces of all documents with the checksum of their ids."""
     return packing.piece_digest(packing.pack(docs, _tokenizer("word_bpe_49k.json")))
