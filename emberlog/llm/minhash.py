@@ -8,8 +8,9 @@ distance meet in a bucket.  Links are confirmed on the full shingle sets.
 Only components are asked for, so pairs inside a known component are never compared:
 1. equal sets become one node;
 2. each node is compared with the nearest of the smallest nodes of its buckets;
-3. buckets that still hold several components compare nodes across them, a few pairs for each pair of
-   components first, more if those fail, until no pair under the distance is left out.
+3. small buckets that still hold several components compare all nodes across them;
+4. nodes of larger such buckets form families, whose overlapping buckets are compared at once on full
+   sets, a pair of bounded blocks at a time; they tell only links that connect something new.
 """
 
 from __future__ import annotations
@@ -19,17 +20,22 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import buffers, connected_components, lots, mix64, opens_of, ranges, release, sliced, written
-from emberlog.llm.tokens import _Index
+from emberlog.llm.common import buffers, connected_components, lots, mix64, opens_of, ranges, release, sliced, words_of, written
 
 CHUNKS, WIDTH, ERRORS = 8, 5, 1
 COMPONENTS = CHUNKS * WIDTH
+#: All pairs up to this distance meet in a bucket.
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Rows of a bucket that one task compares; larger buckets are dealt by pairs of blocks.
-BLOCK = 512
+#: Pairs that meet are compared up to this distance, which a pair of the similarity passes but for 1e-5.
+COMPARED = 19
+#: Buckets of at most so many rows are compared pair by pair, larger ones in families.
+SMALL = 12
+#: Bytes of full sets in a block of a family.
+FAMILY_BYTES = 4 << 20
+_CHOICES = list(combinations(range(WIDTH), WIDTH - ERRORS))
 _ODD = mix64(np.arange(1, COMPONENTS + 1, dtype=np.uint64)) | np.uint64(1)
 _NO_ID = 2**63 - 1
 
@@ -39,27 +45,13 @@ class Shingler:
 
     def __init__(self, words: int) -> None:
         self.words = words
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index, self.bytes, self.known = _Index(), 0, np.zeros(0, np.uint64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All sets, sorted within each text, and their sizes."""
         import xxhash
 
-        if len(self.index) > 500_000 or self.bytes > 24 << 20:
-            self._clear()
-        data, offsets = buffers(texts.fill_null(""))
-        raw = data.tobytes().lower()
-        words = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        number = np.fromiter((x for w in words for x in map(self.index.__getitem__, w)), np.int64, int(n.sum()))
-        fresh, self.index.fresh = self.index.fresh, []
-        self.bytes += sum(map(len, fresh))
-        self.known = np.append(self.known, np.fromiter((xxhash.xxh64_intdigest(w) for w in fresh), np.uint64, len(fresh)))
-        word = self.known[number]
-        doc = np.repeat(np.arange(len(n)), n)
+        number, distinct, n = words_of(texts)
+        word = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[number]
         begin = np.cumsum(n) - n
         # shingles of full length start where enough words follow; a shorter text is one shingle
         length = np.minimum(n, self.words)
@@ -71,7 +63,6 @@ class Shingler:
             there = k < length[of]
             at = np.minimum(start + k, max(len(word) - 1, 0))
             h = np.where(there, mix64(h * np.uint64(0x9E3779B97F4A7C15) + word[at] + np.uint64(k)), h) if len(word) else h
-        del doc
         order = np.lexsort((h, of))
         h, of = h[order], of[order]
         keep = np.ones(len(h), bool)
@@ -120,62 +111,126 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(buffers(column)[0], "<u2").reshape(len(column), COMPONENTS)
 
 
+def _slot_keys(sig: np.ndarray, chunk: np.ndarray | int, choice: np.ndarray | int) -> np.ndarray:
+    """The key under which each signature is filed for a choice of components of a chunk."""
+    h = np.broadcast_to(np.asarray(chunk * len(_CHOICES) + choice + 1), len(sig)).astype(np.uint64)
+    row = np.arange(len(sig))
+    for k in range(WIDTH - ERRORS):
+        at = chunk * WIDTH + np.array(_CHOICES)[choice, k]
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[row, at].astype(np.uint64))
+    return h.view(np.int64)
+
+
 def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, node): the buckets of each signature, the enumeration of the allowed chunk errors."""
-    choices = list(combinations(range(WIDTH), WIDTH - ERRORS))
     for batch in batches:
         for part in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
-            sig = _matrix(part.column(1)).astype(np.uint64)
-            keys = []
-            for c in range(CHUNKS):
-                for e, choice in enumerate(choices):
-                    h = np.full(len(sig), c * len(choices) + e + 1, np.uint64)
-                    for k in choice:
-                        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, c * WIDTH + k])
-                    keys.append(h.view(np.int64))
+            sig = _matrix(part.column(1))
+            keys = [_slot_keys(sig, c, e) for c in range(CHUNKS) for e in range(len(_CHOICES))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(np.asarray(part.column(0)), len(keys)))], names=["key", "node"])
 
 
-def _near(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs across components under the distance, at most `most` for each two components of a bucket; `more` tells of the rest."""
+def _first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first bucket that two signatures share."""
+    same = (a == b).reshape(len(a), CHUNKS, WIDTH)
+    chunk = ((~same).sum(axis=2) <= ERRORS).argmax(axis=1)
+    mine = same[np.arange(len(a)), chunk]
+    choice = np.stack([mine[:, c].all(axis=1) for c in map(list, _CHOICES)], axis=1).argmax(axis=1)
+    return _slot_keys(a, chunk, choice)
+
+
+def _near(similar: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs across components of small buckets that may be links, each in the first bucket it shares.  Sizes n bound the similarity."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot in lots(batches, ["key", "i", "j"]):
+        for lot in lots(batches, ["key"]):
             sig = _matrix(lot.column("sig"))
-            key, i, j, block, node, comp = (np.asarray(lot.column(x)) for x in ("key", "i", "j", "block", "node", "comp"))
-            opens = opens_of(key, i, j)
+            key, node, comp, size = (np.asarray(lot.column(x)) for x in ("key", "node", "comp", "n"))
+            opens = opens_of(key)
             sizes = np.diff(np.append(opens, len(key)))
             for m in np.unique(sizes[sizes > 1]):
-                groups = opens[sizes == m]
-                step = max(1, (1 << 16) // int(m * m))
-                for at in range(0, len(groups), step):
-                    rows = groups[at : at + step, None] + np.arange(m)[None, :]
-                    distance = np.zeros((len(rows), m, m), np.uint8)
-                    for k in range(COMPONENTS):
-                        c = sig[rows, k]
-                        distance += c[:, :, None] != c[:, None, :]
-                    n, c, b = node[rows], comp[rows], block[rows]
-                    ok = (distance <= DISTANCE) & (c[:, :, None] != c[:, None, :]) & (n[:, :, None] < n[:, None, :])
-                    # in a pair of blocks only pairs across them count
-                    across = (i[rows] != j[rows])[:, :, None]
-                    ok &= ~across | (b[:, :, None] != b[:, None, :])
-                    g, x, y = np.nonzero(ok)
-                    if not len(g):
-                        continue
-                    d = distance[g, x, y].astype(np.int64)
-                    a, z = n[g, x], n[g, y]
-                    low, high = np.minimum(c[g, x], c[g, y]), np.maximum(c[g, x], c[g, y])
-                    order = np.lexsort((z, a, d, high, low, g))
-                    first = opens_of(g[order], low[order], high[order])
-                    count = np.diff(np.append(first, len(order)))
-                    rank = np.arange(len(order)) - np.repeat(first, count)
-                    keep = rank < most
-                    more = np.repeat(count > most, count)[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(a[order][keep]), pa.array(z[order][keep]), pa.array(more)], names=["a", "b", "more"])
+                rows = opens[sizes == m][:, None] + np.arange(m)[None, :]
+                n, c, s = node[rows], comp[rows], size[rows]
+                ok = (c[:, :, None] != c[:, None, :]) & (n[:, :, None] < n[:, None, :])
+                ok &= 100 * np.minimum(s[:, :, None], s[:, None, :]) >= similar * np.maximum(s[:, :, None], s[:, None, :])
+                g, x, y = np.nonzero(ok)
+                left, right = rows[g, x], rows[g, y]
+                keep = np.zeros(len(g), bool)
+                for at in range(0, len(g), 1 << 15):
+                    part = slice(at, at + (1 << 15))
+                    near_enough = (sig[left[part]] != sig[right[part]]).sum(axis=1) <= COMPARED
+                    near_enough[near_enough] = _first_key(sig[left[part]][near_enough], sig[right[part]][near_enough]) == key[left[part]][near_enough]
+                    keep[part] = near_enough
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(node[left[keep]]), pa.array(node[right[keep]])], names=["a", "b"])
 
     return near
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of pairs of components, the places of those that are enough to connect all that they connect."""
+    root: dict[int, int] = {}
+
+    def of(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    keep = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        p, q = of(x), of(y)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def _links(similar: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links across components within pairs of blocks of full sets, enough of them to connect what they connect."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in lots(batches, ["key", "i", "j"], "sig", 1 << 16):
+            ids = [np.asarray(lot.column(x)) for x in ("key", "i", "j")]
+            opens = opens_of(*ids)
+            for first, last in zip(opens.tolist(), [*opens[1:].tolist(), lot.num_rows], strict=True):
+                part = lot.slice(first, last - first)
+                node, comp, block = (np.asarray(part.column(x)) for x in ("node", "comp", "block"))
+                sig, lists = _matrix(part.column("sig")), part.column("set")
+                size = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+                ok = np.triu(comp[:, None] != comp[None, :], 1)
+                if ids[1][first] != ids[2][first]:
+                    ok &= block[:, None] != block[None, :]
+                ok &= 100 * np.minimum(size[:, None], size[None, :]) >= similar * np.maximum(size[:, None], size[None, :])
+                if not ok.any():
+                    continue
+                distance = np.zeros(ok.shape, np.uint8)
+                for k in range(COMPONENTS):
+                    distance += sig[:, k, None] != sig[None, :, k]
+                ok &= distance <= COMPARED
+                if not ok.any():
+                    continue
+                # products of the incidence matrix, some columns at a time; shingles of one set alone don't count
+                _, shingle, count = np.unique(np.asarray(lists.flatten()), return_inverse=True, return_counts=True)
+                shared = count > 1
+                place = np.cumsum(shared) - 1
+                row = np.repeat(np.arange(len(size)), size)[shared[shingle]]
+                column = place[shingle[shared[shingle]]]
+                by = np.argsort(column, kind="stable")
+                row, column = row[by], column[by]
+                common = np.zeros(ok.shape, np.float32)
+                for at in range(0, int(shared.sum()), 2048):
+                    low, high = np.searchsorted(column, (at, at + 2048))
+                    block_of = np.zeros((len(size), 2048), np.float32)
+                    block_of[row[low:high], column[low:high] - at] = 1
+                    common += block_of @ block_of.T
+                ok &= 100 * common >= similar * (size[:, None] + size[None, :] - common)
+                x, y = np.nonzero(ok)
+                keep = spanning(comp[x], comp[y])
+                yield pa.RecordBatch.from_arrays([pa.array(node[x[keep]]), pa.array(node[y[keep]])], names=["a", "b"])
+
+    return links
+
+
 def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -190,6 +245,15 @@ def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return sets_of
 
 
+def dealt(rows: DataFrame, blocks: Column, *more: str) -> DataFrame:
+    """Rows of groups (key) of any size, each sent to all pairs of blocks (i, j) of its group that hold its own block."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("blocks", blocks).select("key", "node", "comp", *more, block.alias("block"), "blocks")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", *more)
+    return rows
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similar: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
@@ -198,17 +262,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, similar: int = 80, id_col:
     own for documents without words, which link with nothing; kept tells that it is the row's own.
     Repeated rows are equal sets.  A null id takes part, comes last as a representative and has a null
     component if nothing else is in it.  Pairs at the similarity itself are missed with a probability of
-    about 2e-5 by their signatures (0.26 ** 8), more similar pairs with less.
+    about 3e-5 by their signatures (0.26 ** 8 meet in no bucket), more similar pairs with less.
     """
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
     signed = written(slim.mapInArrow(_sign(words), SIGNED), "signed")
     nodes = written(signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("node"), F.first("sig").alias("sig")), "nodes")
     filed = nodes.select("node", "sig").mapInArrow(_file, "key long, node long")
-    hubs = filed.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "c", "hub")
+    hubs = filed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
     members = written(filed.join(hubs, "key"), "members")
     release(spark)
-    signature = nodes.select("node", "sig").dropDuplicates(["node"])
+    signature = nodes.select("node", "sig", "n").dropDuplicates(["node"])
 
     pairs = members.where("node <> hub").select("node", "hub").distinct()
 
@@ -218,13 +282,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, similar: int = 80, id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d.astype(np.int32))], names=["node", "hub", "d"])
 
     sized = pairs.join(signature, "node").join(signature.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub").select("node", "hub", "sig", "hub_sig")
-    stars = sized.mapInArrow(measure, "node long, hub long, d int").where(F.col("d") <= DISTANCE).groupBy("node").agg(F.min(F.struct("d", "hub")).alias("best"))
+    stars = sized.mapInArrow(measure, "node long, hub long, d int").where(F.col("d") <= COMPARED).groupBy("node").agg(F.min(F.struct("d", "hub")).alias("best"))
     tested = written(stars.select(F.col("best.hub").alias("a"), F.col("node").alias("b")), "stars")
 
+    def sets_of(ends: DataFrame) -> DataFrame:
+        """(node, set) of nodes, from the texts."""
+        named = ends.distinct().join(nodes.select("node", "s1"), "node")
+        sets = slim.select(F.col("id").alias("node"), "text").join(named, "node").select("node", "text", "s1").mapInArrow(_sets(words), "node long, set array<long>")
+        return written(sets.dropDuplicates(["node"]), "sets")
+
     def confirmed(candidates: DataFrame) -> DataFrame:
-        ends = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "s1"), "node")
-        sets = slim.select(F.col("id").alias("node"), "text").join(ends, "node").select("node", "text", "s1").mapInArrow(_sets(words), "node long, set array<long>")
-        sets = written(sets.dropDuplicates(["node"]), "sets")
+        sets = sets_of(candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))))
         both = candidates.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         found = written(both.where(100 * common >= similar * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
@@ -233,30 +301,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, similar: int = 80, id_col:
 
     links = confirmed(tested)
     labels = connected_components(links)
-    most = 16
-    while True:
-        named = members.select("key", "node", "c").join(labels, "node", "left").select("key", "node", "c", F.coalesce("component", "node").alias("comp"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        rows = named.join(mixed, "key", "left_semi").join(signature, "node")
-        blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-        block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-        rows = rows.select("key", "node", "comp", "sig", block.alias("block"), blocks.alias("blocks"))
-        # a row of a large bucket goes to each pair of blocks that holds its own
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        rows = rows.select("*", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "sig")
-        rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-        found = rows.mapInArrow(_near(most), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
-        found = written(found.join(tested, ["a", "b"], "left_anti"), "found")
-        more = not found.where("more").isEmpty()
-        if not found.isEmpty():
-            tested = tested.union(found.select("a", "b"))
-            links = links.union(confirmed(found.select("a", "b")))
-            labels = connected_components(links)
-        elif not more:
-            break
-        if not more:
-            break
-        most *= 16
+    def still_mixed() -> DataFrame:
+        """Members of buckets that hold several components: key, node, comp, rows of the bucket and its smallest node."""
+        named = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+        mixed = named.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        return named.join(mixed.where("lo < hi").select("key", "c", "hub"), "key")
+
+    rows = still_mixed().where(F.col("c") <= SMALL).join(signature, "node").select("key", "node", "comp", "sig", "n")
+    found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near(similar), "a long, b long")
+    fresh = written(found.join(tested, ["a", "b"], "left_anti"), "fresh")
+    if not fresh.isEmpty():
+        links = links.union(confirmed(fresh))
+        labels = connected_components(links)
+    # families of nodes whose large buckets overlap: all of each on full sets
+    heavy = written(still_mixed().where(F.col("c") > SMALL).select("node", "comp", "hub").distinct(), "heavy")
+    if not heavy.isEmpty():
+        family = connected_components(heavy.select(F.col("node").alias("a"), F.col("hub").alias("b"))).select("node", F.col("component").alias("key"))
+        full = written(family.join(heavy.select("node", "comp").distinct(), "node").join(signature, "node"), "family")
+        blocks = full.groupBy("key").agg(F.ceil(F.sum("n") * 8 / FAMILY_BYTES).cast("int").alias("blocks"))
+        rows = dealt(full.join(blocks, "key"), F.col("blocks"), "sig")
+        rows = rows.join(sets_of(full.select("node")), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+        links = links.union(written(rows.mapInArrow(_links(similar), "a long, b long"), "links"))
+        labels = connected_components(links)
     release(spark, members)
 
     same = nodes.select("s1", "s2", "n", "node").join(labels, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component"))

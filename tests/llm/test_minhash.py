@@ -50,7 +50,8 @@ def test_like_brute_force(spark):
 
 
 def test_blocks_and_rounds(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "FAMILY_BYTES", 4000)
     check(spark, corpus(2, 3, 25), 5)
 
 
