@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import buffers, mix64, ranges, release, sliced, written
+from emberlog.llm.common import buffers, lots, mix64, opens_of, ranges, release, sliced, written
 
 LENGTH, Q = 200, 32
-#: A key with more contents than this is dealt window by window instead of run by run.
+#: A key with more contents than this is dealt by blocks of windows, and a block with more rows by windows.
 LARGE_KEY = 256
+#: Windows of a block; blocks lie alike to the anchor.
+BLOCK = 16
 #: Bytes whose suffixes are sorted at once.
 SORT_BYTES = 1 << 20
 _POS = np.uint64((1 << 22) - 1)
@@ -66,6 +68,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out if have == width else np.minimum(out[: len(x) - width + 1], out[width - have :][: len(x) - width + 1])
 
 
+def _fits(length: int, q: int = Q) -> None:
+    if not 128 <= length <= 1000 + q:
+        raise ValueError("a repeated string has 128 to 1000 bytes")
+
+
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, ...]:
     """Runs of the documents in one buffer: document row, first window, windows, anchor - first, key, content hash.
 
@@ -174,7 +181,17 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, windows: np.ndarray,
     return out
 
 
-RUN = "did long, th long, s int, n int, a int, key long, content long"
+def span_hash(grams: np.ndarray, start: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """Hashes of byte spans of at most `most` bytes from those of the 128-grams that cover them."""
+    blocks = -(-most // 128)
+    out = size.astype(np.uint64)
+    for k in range(blocks + 1):
+        out += mix64(grams[start + (size - 128) * k // blocks] ^ np.uint64(k + 7)) * np.uint64(2 * k + 1)
+    return out
+
+
+#: `at` packs the first window, the number of windows and the anchor's offset (10 bits each).
+RUN = "did long, th long, at long, key long, content long"
 
 
 def _emit_runs(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -184,8 +201,8 @@ def _emit_runs(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             doc, s, n, a, key, content = runs_of(data, offsets, length)
             rows = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x.astype(np.int32)) for x in (s, n, a)), *(pa.array(x.view(np.int64)) for x in (key, content))],
-                names=["did", "th", "s", "n", "a", "key", "content"],
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(s << 20 | n << 10 | a), *(pa.array(x.view(np.int64)) for x in (key, content))],
+                names=["did", "th", "at", "key", "content"],
             )
 
     return emit
@@ -195,7 +212,7 @@ FETCHED = "did long, th long, s int, n int, key long, t int, w long, body binary
 
 
 def _fetch(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Bytes of the runs asked for; of runs of large keys, the hash of each window instead."""
+    """Bytes of the runs asked for; those of large keys in blocks, keyed anew by what the windows of a block share."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("t", pa.int32()), ("w", pa.int64()), ("body", pa.binary())])
@@ -217,58 +234,69 @@ def _fetch(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[small]) for x in (did, th)), *(pa.array(x[small].astype(np.int32)) for x in (s, n)), pa.array(key[small]), pa.nulls(len(small), pa.int32()), none, body], schema=schema)
             if len(big := np.flatnonzero(large)):
                 grams = gram_hashes(data, (128,))[128]
-                for part in np.array_split(big, max(1, int(n[big].sum()) >> 18)):
-                    run = np.repeat(part, n[part])
-                    first = ranges(s[part], n[part])
-                    at = offsets[doc[run]] + first
-                    w = np.zeros(len(at), np.uint64)
-                    blocks = -(-length // 128)
-                    for k in range(blocks + 1):
-                        w += mix64(grams[at + (length - 128) * k // blocks] ^ np.uint64(k + 7)) * np.uint64(2 * k + 1)
-                    t = s[run] + a[run] - first
-                    one = np.ones(len(at), np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(did[run]), pa.array(th[run]), pa.array(first.astype(np.int32)), pa.array(one), pa.array(key[run]), pa.array(t.astype(np.int32)), pa.array(w.view(np.int64)), pa.nulls(len(at), pa.binary())], schema=schema)
+                run = np.repeat(big, n[big])
+                first = ranges(s[big], n[big])
+                t = s[run] + a[run] - first
+                opens = opens_of(run, t // BLOCK)
+                count = np.diff(np.append(opens, len(run)))
+                run, first, t = run[opens], first[opens], t[opens]
+                at = offsets[doc[run]] + first
+                size = count + length - 1
+                # all windows of a block have this in common, whichever of them the run owns
+                core = span_hash(grams, at + t - t // BLOCK * BLOCK, np.full(len(at), length - BLOCK + 1), length)
+                route = mix64(core + mix64(key[run].view(np.uint64) + (t // BLOCK).astype(np.uint64)))
+                whole = mix64(span_hash(grams, at, size, length + BLOCK) ^ ((t.astype(np.uint64) << np.uint64(16)) | count.astype(np.uint64)))
+                body = pa.Array.from_buffers(
+                    pa.large_binary(), len(at), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(data[ranges(at, size)])]
+                ).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(did[run]), pa.array(th[run]), *(pa.array(x.astype(np.int32)) for x in (first, count)), pa.array(route.view(np.int64)), pa.array(t.astype(np.int32)), pa.array(whole.view(np.int64)), body],
+                    schema=schema,
+                )
 
     return fetch
 
 
+WINDOW = "did long, th long, s int, n int, key long, t int, w long"
+
+
+def _windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each window of the blocks, with its place to the anchor and its hash."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "body"):
+            data, offsets = buffers(batch.column("body"))
+            n = np.asarray(batch.column("n")).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            step = ranges(np.zeros(len(n), np.int64), n)
+            w = span_hash(gram_hashes(data, (128,))[128], offsets[row] + step, np.full(len(row), length), length)
+            s, t = (np.asarray(batch.column(x)).astype(np.int64)[row] for x in ("s", "t"))
+            take = pa.array(row)
+            did, th, key = (batch.column(x).take(take) for x in ("did", "th", "key"))
+            yield pa.RecordBatch.from_arrays(
+                [did, th, pa.array((s + step).astype(np.int32)), pa.array(np.ones(len(row), np.int32)), key, pa.array((t - step).astype(np.int32)), pa.array(w.view(np.int64))],
+                names=["did", "th", "s", "n", "key", "t", "w"],
+            )
+
+    return windows
+
+
 MARK = "did long, th long, s int, n int"
 
 
 def _sort_suffixes(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of rows sorted by key, the runs of windows that occur again; sorted in lots of whole keys."""
 
-    def lot(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        batch = table.to_batches()[0]
-        data, offsets = buffers(batch.column("body"))
-        s, n = (np.asarray(batch.column(x)).astype(np.int64) for x in ("s", "n"))
-        again = repeated_windows(data, offsets, n, length)
-        run = np.repeat(np.arange(len(n)), n)
-        first = ranges(s, n)
-        hit = np.flatnonzero(again)
-        opens = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (np.diff(run[hit]) != 0)]) if len(hit) else np.zeros(0, np.int64)
-        count = np.diff(np.append(opens, len(hit)))
-        take = pa.array(run[hit[opens]])
-        return pa.RecordBatch.from_arrays([batch.column("did").take(take), batch.column("th").take(take), pa.array(first[hit[opens]].astype(np.int32)), pa.array(count.astype(np.int32))], names=["did", "th", "s", "n"])
-
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in sliced(batches, "body", SORT_BYTES // 4):
-            if held and size > SORT_BYTES:
-                key = np.asarray(batch.column("key"))
-                cut = int(np.searchsorted(key != held[-1].column("key")[-1].as_py(), True)) if key[0] == held[-1].column("key")[-1].as_py() and key[-1] != key[0] else 0
-                if key[0] != held[-1].column("key")[-1].as_py() or key[-1] != key[0]:
-                    if cut:
-                        held.append(batch.slice(0, cut))
-                        batch = batch.slice(cut)
-                    yield lot(held)
-                    held, size = [], 0
-            held.append(batch)
-            size += batch.column("body").nbytes
-        if held:
-            yield lot(held)
+        for lot in lots(batches, ["key"], "body", SORT_BYTES):
+            data, offsets = buffers(lot.column("body"))
+            s, n = (np.asarray(lot.column(x)).astype(np.int64) for x in ("s", "n"))
+            hit = np.flatnonzero(repeated_windows(data, offsets, n, length))
+            row, first = np.repeat(np.arange(len(n)), n)[hit], ranges(s, n)[hit]
+            opens = opens_of(row, first - np.arange(len(first)))
+            take = pa.array(row[opens])
+            count = np.diff(np.append(opens, len(hit)))
+            yield pa.RecordBatch.from_arrays([lot.column("did").take(take), lot.column("th").take(take), pa.array(first[opens].astype(np.int32)), pa.array(count.astype(np.int32))], names=["did", "th", "s", "n"])
 
     return sort
 
@@ -281,10 +309,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def suffix_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(did, th, s, n): the n windows from byte s on of a document occur again elsewhere."""
     spark = docs.sparkSession
+    _fits(length)
     slim = _keyed(docs.select(F.col(id_col), F.col(text_col).alias("text")), id_col, "text").select("did", "th", "text")
     runs = written(slim.mapInArrow(_emit_runs(length), RUN), "runs")
     keys = runs.groupBy("key").agg(F.count("*").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("c > 1")
-    met = written(runs.join(keys.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "key"), "met")
+    s, n, a = F.shiftright("at", 20).cast("int"), F.shiftright("at", 10).bitwiseAND(1023).cast("int"), F.col("at").bitwiseAND(1023).cast("int")
+    joined = runs.join(keys.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "key")
+    met = written(joined.select("did", "th", s.alias("s"), n.alias("n"), a.alias("a"), "key", "content", "mixed"), "met")
     release(spark, runs)
 
     mixed = met.where("mixed")
@@ -299,11 +330,18 @@ def suffix_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     copies = met.where("not mixed").select("did", "th", "s", "n")
     copies_too = mixed.join(contents.where("c > 1").select("key", "content"), ["key", "content"], "left_semi").select("did", "th", "s", "n")
-    small = fetched.where("t is null").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_suffixes(length), MARK)
-    windows = fetched.where("t is not null")
+    small = fetched.where("t is null").select("did", "th", "s", "n", "key", "body")
+    blocks = fetched.where("t is not null")
+    routes = blocks.groupBy("key").agg(F.count("*").alias("c"), F.min("w").alias("lo"), F.max("w").alias("hi")).where("c > 1")
+    blocks = blocks.join(routes, "key")
+    copied = blocks.where("lo = hi").select("did", "th", "s", "n")
+    differ = blocks.where("lo <> hi")
+    sortable = small.unionByName(differ.where(F.col("c") <= LARGE_KEY).select("did", "th", "s", "n", "key", "body"))
+    sorted_ = sortable.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_suffixes(length), MARK)
+    windows = differ.where(F.col("c") > LARGE_KEY).select("did", "th", "s", "n", "key", "t", "body").mapInArrow(_windows(length), WINDOW)
     again = windows.groupBy("key", "t", "w").agg(F.count("*").alias("c")).where("c > 1").select("key", "t", "w")
     big = windows.join(again, ["key", "t", "w"], "left_semi").select("did", "th", "s", "n")
-    return copies.unionByName(copies_too).unionByName(small).unionByName(big)
+    return copies.unionByName(copies_too).unionByName(copied).unionByName(sorted_).unionByName(big)
 
 
 def _spans(lists: pa.Array, row: int, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -63,6 +63,8 @@ def test_like_brute_force(spark):
 def test_large_keys_and_small_lots(spark, monkeypatch):
     monkeypatch.setattr(suffix, "LARGE_KEY", 1)
     check(spark, corpus(2))
+    monkeypatch.setattr(suffix, "LARGE_KEY", 3)
+    check(spark, corpus(3))
     monkeypatch.setattr(suffix, "_CHUNK", 300)
     doc, s, n, *_ = suffix.runs_of(np.frombuffer(b"abcdefgh" * 300, np.uint8), np.array([0, 1000, 1000, 2400]))
     assert n.sum() == 801 + 1201
