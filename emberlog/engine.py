@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import discovery, report
 from emberlog.plans.ast import QueryError
-from emberlog.plans.compiler import Catalog, Request, compile_query
+from emberlog.plans.compiler import Catalog, Request, compile_query, matched_streams
 from emberlog.plans.parser import parse
 from emberlog.streaming import tail
 
@@ -35,7 +35,7 @@ class Result:
     elapsed: float = 0.0
 
     def as_dict(self) -> dict:
-        rows = {"records": self.records} if self.records is not None else {"points": self.points}
+        rows = {k: v for k, v in (("records", self.records), ("points", self.points)) if v is not None}
         rest = {"source": self.source, "start": _utc(self.start), "end": _utc(self.end), "streams": self.streams, "truncated": self.truncated, "warnings": self.warnings, "elapsed_ms": round(self.elapsed * 1000, 3)}
         return rows | rest
 
@@ -72,12 +72,15 @@ class Engine:
         more = Request(request.start, request.end, request.limit + 1, request.forward)
         plan = compile_query(query, more, self.catalog)
         out = Result(plan.df, plan.source, plan.start, plan.end)
+        out.streams = matched_streams(query, self.catalog.streams).count()
+        if not out.streams:  # the logs are not read
+            out.records = out.points = []
+            return out
         rows = plan.df.limit(request.limit + 1) if query.agg else report.rendered(plan.df)
         got = [r.asDict(recursive=True) for r in rows.collect()]
         out.truncated, got = len(got) > request.limit, got[: request.limit]
         if query.agg is None:
             out.records = [{k: v for k, v in r.items() if v is not None} for r in got]
-            out.streams = len({r["stream_id"] for r in got})
         else:
             # a missing group value has no key
             out.points = [{"bucket": r["bucket"], "value": r["value"], "by": {k: _named(k, r[k]) for k in query.agg.by if r[k] is not None}} for r in got]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from emberlog.plans.compiler import COLUMNS, moment, naive
 
 KEY = ["stream_id", "seq", "time"]
-RETENTION_DAYS = 30
+RETENTION_DAYS, COMPACT_HOURS = 30, 2
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -23,7 +23,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def first_of_each(batch: DataFrame) -> DataFrame:
-    """One row of each key; rows of a key that differ are told apart by their content, not by their order."""
+    """One row of each key; which one, if a batch holds several with different content, is left open."""
     return batch.dropDuplicates(KEY)
 
 
@@ -33,9 +33,9 @@ def new_rows(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
     if stored is None:
         return batch
     if "event_date" in stored.columns:
-        # the same partitions only; the days of a batch are few and pruned at run time
+        # the same partitions only, pruned at run time; accepted times span 7 days and 15 minutes, so these are nine rows at most
         days = batch.select(F.to_date("time").alias("event_date")).distinct()
-        stored = stored.join(F.broadcast(days), "event_date", "left_semi") if "event_date" in stored.columns else stored
+        stored = stored.join(F.broadcast(days), "event_date", "left_semi")
     return batch.join(stored.select(*KEY), KEY, "left_anti")
 
 
@@ -93,6 +93,33 @@ def compacted(logs: DataFrame) -> DataFrame:
     return dated(logs).repartition("event_date", "stream_id").sortWithinPartitions("event_date", "stream_id", F.desc("time"), "seq")
 
 
+def compact(spark: SparkSession, path: str, now: datetime, hours: int = COMPACT_HOURS) -> list[str]:
+    """Rewrites the date partitions that ended `hours` ago or more and have several files; returns their dates.
+
+    A day is written beside the table and takes its place when it is whole.
+    """
+    edge = (naive(now) - timedelta(hours=hours)).date().isoformat()
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = []
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if not name.startswith("event_date=") or name[11:] >= edge:
+            continue
+        files = [f for f in fs.listStatus(status.getPath()) if f.getPath().getName().startswith("part-")]
+        if len(files) < 2:
+            continue
+        new = jvm.org.apache.hadoop.fs.Path(f"{path}/_{name}")
+        fs.delete(new, True)
+        day = spark.read.parquet(f"{path}/{name}")
+        compacted(day).drop("event_date").coalesce(max(1, len(files) // 8)).write.option("compression", "zstd").parquet(new.toString())
+        fs.delete(status.getPath(), True)
+        fs.rename(new, status.getPath())
+        done.append(name[11:])
+    return sorted(done)
+
+
 def size_of(spark: SparkSession, path: str) -> int:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()

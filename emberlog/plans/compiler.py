@@ -124,6 +124,12 @@ def stream_matchers(query: Query) -> list[Matcher]:
     return [m for m in query.matchers if m.label != "level"]
 
 
+def matched_streams(query: Query, streams: DataFrame) -> DataFrame:
+    for m in stream_matchers(query):
+        streams = streams.where(stream_predicate(m))
+    return streams
+
+
 def record_predicates(query: Query) -> tuple[list[Column], Extractor, bool]:
     """Predicates on records in order, the extractor in force at the end, and whether promoted labels are read."""
     out = [level_predicate(m.op, m.value) for m in query.matchers if m.label == "level"]
@@ -187,9 +193,7 @@ def compile_query(query: Query | str, request: Request, catalog: Catalog) -> Pla
     predicates, extract, promoted = record_predicates(query)
     promoted |= bool(agg) and any(x in PROMOTED for x in agg.by)
     matchers = stream_matchers(query)
-    streams = catalog.streams
-    for m in matchers:
-        streams = streams.where(stream_predicate(m))
+    streams = matched_streams(query, catalog.streams)
     if promoted:
         rows = rows.join(streams.select("stream_id", *PROMOTED), "stream_id")
     elif matchers:

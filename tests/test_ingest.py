@@ -80,6 +80,10 @@ def test_write_batch(spark, tmp_path):
     assert plain.source == "logs" and [r.value for r in plain.df.collect()] == [150.0]
     stats = storage.statistics(spark, store.logs)
     assert stats["ratio"] > 0
+    day = (NOW - timedelta(minutes=30)).date().isoformat()
+    before = sorted(map(str, spark.read.parquet(store.logs).collect()))
+    assert storage.compact(spark, store.logs, NOW) == [] and storage.compact(spark, store.logs, NOW + timedelta(days=1)) == [day]
+    assert sorted(map(str, spark.read.parquet(store.logs).collect())) == before
     assert storage.drop_old_partitions(spark, store.logs, NOW + timedelta(days=40)) == [(NOW - timedelta(minutes=30)).date().isoformat()]
 
 

@@ -66,7 +66,7 @@ def test_limits_and_empty_results(catalog):
     forward = engine.query('{service="api"}', START, START + timedelta(hours=1), 2, "forward")
     assert [r["seq"] for r in forward.records] == [0, 1]
     none = engine.query('{service="nope"}', START, START + timedelta(hours=1))
-    assert none.records == [] and none.source == "logs"
+    assert none.records == none.points == [] and none.source == "logs" and none.streams == 0 and forward.streams == 1
     assert engine.handle({"query": '{service="api"} |= "row 1"', "start": "2026-09-01T00:00:00", "end": "2026-09-01T01:00:00"})["records"][0]["level"] == "info"
     for wrong in ({"direction": "up"}, {"start": START, "end": START}, {"limit": -1}):
         with pytest.raises(QueryError):
