@@ -68,12 +68,16 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Words between ASCII white space: their numbers among the distinct words, these, and the words of each text."""
     texts = texts.fill_null("")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
-    coded = lists.flatten().dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    number = np.asarray(coded.indices).astype(np.int64)
+    return coded(pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts))
+
+
+def coded(lists: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The same of lists of words; empty words are left out."""
+    words = lists.flatten().dictionary_encode()
+    distinct = words.dictionary.to_pylist()
+    number = np.asarray(words.indices).astype(np.int64)
     n = np.diff(np.asarray(lists.offsets)).astype(np.int64)
-    if "" in distinct:  # white space at an end of a text parts off an empty word
+    if "" in distinct:  # what separates words parts off an empty one at an end of a text
         keep = number != distinct.index("")
         n = np.bincount(np.repeat(np.arange(len(n)), n)[keep], minlength=len(n)).astype(np.int64)
         number = number[keep]

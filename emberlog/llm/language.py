@@ -9,22 +9,22 @@ bounded sample of labelled rows (`sample_docs`), so its size doesn't depend on t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import mix64, ranges, sliced
+from emberlog.llm.common import coded, mix64, ranges, sliced
 from emberlog.llm.tokens import _Index
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
 SWITCH = 9.0
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 #: First code points of blocks of letters, and their script.
 SCRIPTS = (
     (0x0041, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -44,6 +44,11 @@ SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
 _SCRIPT_OF = np.array([SCRIPT_NAMES.index(name) for _, name in SCRIPTS] + [SCRIPT_NAMES.index("other")])
 
 
+def letters_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Runs of letters in lower case: their numbers among the distinct ones, these, and how many each text has."""
+    return coded(pc.split_pattern_regex(pc.utf8_lower(texts.fill_null("")), r"[^\pL]+"))
+
+
 def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the words between marks, row by row, their sizes with marks, and the script of each word."""
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
@@ -90,13 +95,17 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in sliced(batches, "text"):
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = LETTERS.findall(text.lower())
-                if words:
-                    points, sizes, script = spelled(words)
-                    sums = total.setdefault(lang, np.zeros(BUCKETS + len(SCRIPT_NAMES), np.int64))
-                    sums[:BUCKETS] += np.bincount(gram_buckets(points, sizes)[0], minlength=BUCKETS)
-                    sums[BUCKETS:] += np.bincount(script, weights=sizes - 2, minlength=len(SCRIPT_NAMES)).astype(np.int64)
+            number, distinct, n = letters_of(batch.column(1))
+            if not distinct:
+                continue
+            points, sizes, script = spelled([w or " " for w in distinct])
+            bucket, of = gram_buckets(points, sizes)
+            langs = np.array(batch.column(0).to_pylist(), object)
+            for lang in sorted(set(langs)):
+                times = np.bincount(number[np.repeat(langs == lang, n)], minlength=len(distinct))
+                sums = total.setdefault(lang, np.zeros(BUCKETS + len(SCRIPT_NAMES), np.int64))
+                sums[:BUCKETS] += np.bincount(bucket, weights=times[of], minlength=BUCKETS).astype(np.int64)
+                sums[BUCKETS:] += np.bincount(script, weights=times * (sizes - 2), minlength=len(SCRIPT_NAMES)).astype(np.int64)
         for lang, sums in total.items():
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(sums[at])})
@@ -139,13 +148,13 @@ class Labeller:
             self.count += len(part)
             self.bytes += int(sizes.sum())
 
-    def __call__(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Label and letters of every word of the texts (lists of words)."""
+    def __call__(self, number: np.ndarray, distinct: list[str], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Label and letters of every word of texts, from `letters_of`."""
         if len(self.index) > 400_000 or self.bytes > 8 << 20:
             self._clear()
-        n = np.fromiter(map(len, texts), np.int64, len(texts))
-        number = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64, int(n.sum()))
+        known = np.fromiter(map(self.index.__getitem__, [w or " " for w in distinct]), np.int64, len(distinct))
         self._learn()
+        number = known[number]
         return self.viterbi(self.score, number, n), self.size[number]
 
     def viterbi(self, score: np.ndarray, number: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -196,16 +205,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model, switch) if model.languages else None
         for batch in sliced(batches, text_col, 8 << 20):
-            texts = [(t or "").lower() for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            words = [LETTERS.findall(t) for t in texts]
-            n = np.fromiter(map(len, words), np.int64, len(words))
-            pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            number, distinct, n = letters_of(texts)
+            pred, score = np.full(len(n), "und", object), np.zeros(len(n))
             label = np.zeros(0, np.int8)
             if labeller is not None:
-                label, letters = labeller(words)
+                label, letters = labeller(number, distinct, n)
                 of = np.repeat(np.arange(len(n)), n)
                 share = np.zeros((len(n), len(model.languages)))
-                np.add.at(share, (of, label), letters)
+                for k in range(share.shape[1]):
+                    share[:, k] = np.bincount(of, weights=letters * (label == k), minlength=len(n))
                 total = share.sum(axis=1)
                 has = total > 0
                 winner = share.argmax(axis=1)
@@ -219,9 +228,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.mapInArrow(run, schema)
 
 
-def _spans(texts: list[str], label: np.ndarray, n: np.ndarray, languages: list[str]) -> list[list[dict]]:
+def _spans(texts: pa.Array, label: np.ndarray, n: np.ndarray, languages: list[str]) -> list[list[dict]]:
     out, at = [], 0
-    for text, count in zip(texts, n.tolist(), strict=True):
+    for text, count in zip(texts.fill_null("").to_pylist(), n.tolist(), strict=True):
         mine: list[dict] = []
         for k, m in enumerate(LETTERS.finditer(text) if languages else ()):
             lang = languages[label[at + k]]

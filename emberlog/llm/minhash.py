@@ -91,18 +91,27 @@ def set_hashes(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return tuple(mix64(t[end] - t[end - sizes] + sizes.astype(np.uint64)).view(np.int64) for t in (total, twice))
 
 
-SIGNED = "id long, n long, s1 long, s2 long, sig binary"
+#: Texts to all sets, sorted within each text, and their sizes; made once for a task.
+Maker = Callable[[], Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]]
+#: Sets and sizes to all buckets of the sets, and the buckets of each.
+Buckets = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
+SIGNED = "id long, n long, s1 long, s2 long, sig binary, keys array<long>"
 
-def _sign(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+
+def _sign(maker: Maker, buckets: Buckets | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        make = maker()
         for batch in sliced(batches, "text", 1 << 20):
-            sets, sizes = shingler(batch.column(1))
+            sets, sizes = make(batch.column(1))
             s1, s2 = set_hashes(sets, sizes)
             sig = signatures(sets, sizes).astype("<u2").tobytes()
             body = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((np.arange(len(sizes) + 1) * 2 * COMPONENTS).astype(np.int32)), pa.py_buffer(sig)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(s1), pa.array(s2), body], names=["id", "n", "s1", "s2", "sig"])
+            keys = pa.nulls(len(sizes), pa.list_(pa.int64()))
+            if buckets is not None:
+                own, count = buckets(sets, sizes)
+                keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(own.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(s1), pa.array(s2), body, keys], names=["id", "n", "s1", "s2", "sig", "keys"])
 
     return sign
 
@@ -139,8 +148,8 @@ def _first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _slot_keys(a, chunk, choice)
 
 
-def _near(similar: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs across components of small buckets that may be links, each in the first bucket it shares.  Sizes n bound the similarity."""
+def _near(similar: int, first_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs across components of small buckets that may be links; with `first_only` each in the first bucket it shares.  Sizes n bound the similarity."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in lots(batches, ["key"]):
@@ -159,7 +168,8 @@ def _near(similar: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 for at in range(0, len(g), 1 << 15):
                     part = slice(at, at + (1 << 15))
                     near_enough = (sig[left[part]] != sig[right[part]]).sum(axis=1) <= COMPARED
-                    near_enough[near_enough] = _first_key(sig[left[part]][near_enough], sig[right[part]][near_enough]) == key[left[part]][near_enough]
+                    if first_only:
+                        near_enough[near_enough] = _first_key(sig[left[part]][near_enough], sig[right[part]][near_enough]) == key[left[part]][near_enough]
                     keep[part] = near_enough
                 if keep.any():
                     yield pa.RecordBatch.from_arrays([pa.array(node[left[keep]]), pa.array(node[right[keep]])], names=["a", "b"])
@@ -231,11 +241,11 @@ def _links(similar: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return links
 
 
-def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sets(maker: Maker) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        make = maker()
         for batch in sliced(batches, "text", 1 << 20):
-            sets, sizes = shingler(batch.column(1))
+            sets, sizes = make(batch.column(1))
             s1, _ = set_hashes(sets, sizes)
             mine = pa.array(s1 == np.asarray(batch.column(2)))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(sets.view(np.int64)))
@@ -264,15 +274,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, similar: int = 80, id_col:
     component if nothing else is in it.  Pairs at the similarity itself are missed with a probability of
     about 3e-5 by their signatures (0.26 ** 8 meet in no bucket), more similar pairs with less.
     """
+    return linked(docs, lambda: Shingler(words), similar, id_col, text_col).withColumnRenamed("n_items", "n_shingles")
+
+
+def linked(docs: DataFrame, maker: Maker, similar: int, id_col: str, text_col: str, buckets: Buckets | None = None) -> DataFrame:
+    """(doc_id, n_items, component_id, kept) for the sets that `maker` makes; without `buckets` sets meet by their signatures."""
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    signed = written(slim.mapInArrow(_sign(words), SIGNED), "signed")
-    nodes = written(signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("node"), F.first("sig").alias("sig")), "nodes")
-    filed = nodes.select("node", "sig").mapInArrow(_file, "key long, node long")
+    signed = written(slim.mapInArrow(_sign(maker, buckets), SIGNED), "signed")
+    nodes = written(signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "nodes")
+    filed = nodes.select("node", "sig").mapInArrow(_file, "key long, node long") if buckets is None else nodes.select(F.explode("keys").alias("key"), "node")
     hubs = filed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
-    members = written(filed.join(hubs, "key"), "members")
+    # tables of their own, so that Spark can split the large partitions of the joins with them
+    hubs = written(hubs, "hubs")
     release(spark)
-    signature = nodes.select("node", "sig", "n").dropDuplicates(["node"])
+    members = written(filed.join(hubs, "key"), "members")
+    release(spark, hubs)
+    signature = written(nodes.select("node", "sig", "n").dropDuplicates(["node"]), "signature")
 
     pairs = members.where("node <> hub").select("node", "hub").distinct()
 
@@ -288,7 +306,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similar: int = 80, id_col:
     def sets_of(ends: DataFrame) -> DataFrame:
         """(node, set) of nodes, from the texts."""
         named = ends.distinct().join(nodes.select("node", "s1"), "node")
-        sets = slim.select(F.col("id").alias("node"), "text").join(named, "node").select("node", "text", "s1").mapInArrow(_sets(words), "node long, set array<long>")
+        sets = slim.select(F.col("id").alias("node"), "text").join(named, "node").select("node", "text", "s1").mapInArrow(_sets(maker), "node long, set array<long>")
         return written(sets.dropDuplicates(["node"]), "sets")
 
     def confirmed(candidates: DataFrame) -> DataFrame:
@@ -308,7 +326,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similar: int = 80, id_col:
         return named.join(mixed.where("lo < hi").select("key", "c", "hub"), "key")
 
     rows = still_mixed().where(F.col("c") <= SMALL).join(signature, "node").select("key", "node", "comp", "sig", "n")
-    found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near(similar), "a long, b long")
+    found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_near(similar, buckets is None), "a long, b long").distinct()
     fresh = written(found.join(tested, ["a", "b"], "left_anti"), "fresh")
     if not fresh.isEmpty():
         links = links.union(confirmed(fresh))
@@ -330,5 +348,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, similar: int = 80, id_col:
     own = F.when(F.col("id") != _NO_ID, F.col("id"))
     component = F.coalesce("component", "id")
     return out.select(
-        own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != _NO_ID, component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")
+        own.alias("doc_id"), F.col("n").alias("n_items"), F.when(component != _NO_ID, component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")
     )

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import buffers, mix64, partitions_of, ranges, sliced, words_of
+from emberlog.llm.minhash import Buckets, linked
 from emberlog.llm.tokens import _Index
 
 CHAIN = 2
@@ -109,6 +110,51 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     return out
 
 
+def length_parts(similar: int, most: int = 1 << 31) -> np.ndarray:
+    """Where the partitions of set lengths begin: sets that can be similar lie in one partition or in two neighbours."""
+    out = [1]
+    while out[-1] < most:
+        out.append(out[-1] * 100 // similar + 1)
+    return np.array(out)
+
+
+def spot_buckets(similar: int) -> Buckets:
+    """Buckets of signature sets: for two sets that are similar enough, the first few signatures of both, by hash, share one.
+
+    A bucket is a signature in a length partition; a set is in those of its own partition and of the next.
+    """
+    parts = length_parts(similar)
+
+    def buckets(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        few = np.where(sizes > 0, sizes - -(-sizes * similar // 100) + 1, 0)
+        first = sets[ranges(np.cumsum(sizes) - sizes, few)].astype(np.uint64)
+        part = np.repeat(np.searchsorted(parts, sizes, side="right"), few).astype(np.uint64)
+        keys = np.stack([mix64(first * np.uint64(0x9E3779B97F4A7C15) + part + np.uint64(k)) for k in (0, 1)], axis=1)
+        return keys.ravel(), 2 * few
+
+    return buckets
+
+
+def spot_duplicates(docs: DataFrame, similar: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_items, component_id, kept): near-duplicates by SpotSigs.
+
+    Documents whose signature sets are similar to `similar` per cent are linked; candidates meet in
+    buckets of length partitions, sizes prune pairs before their sets are compared.  Nulls, empty texts,
+    ties and repeats are treated as by `minhash.near_duplicates`.
+    """
+
+    def maker():
+        spotter = Spotter()
+
+        def make(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            sets, sizes = spotter(texts.fill_null("").cast(pa.large_string()))
+            return sets.astype(np.uint64), sizes
+
+        return make
+
+    return linked(docs, maker, similar, id_col, text_col, spot_buckets(similar))
+
+
 def _printed(sets: tuple[np.ndarray, np.ndarray]) -> list[str]:
     ends = np.append(0, np.cumsum(sets[1])).tolist()
     return [base64.b64encode(sets[0][a:b].astype("<u4").tobytes()).decode() for a, b in zip(ends[:-1], ends[1:], strict=True)]

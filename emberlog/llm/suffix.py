@@ -313,10 +313,13 @@ def suffix_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = _keyed(docs.select(F.col(id_col), F.col(text_col).alias("text")), id_col, "text").select("did", "th", "text")
     runs = written(slim.mapInArrow(_emit_runs(length), RUN), "runs")
     keys = runs.groupBy("key").agg(F.count("*").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("c > 1")
+    # a table of its own, so that Spark can split the join's large partitions and drop the counts' shuffle
+    keys = written(keys.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "keys")
+    release(spark)
     s, n, a = F.shiftright("at", 20).cast("int"), F.shiftright("at", 10).bitwiseAND(1023).cast("int"), F.col("at").bitwiseAND(1023).cast("int")
-    joined = runs.join(keys.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "key")
+    joined = runs.join(keys, "key")
     met = written(joined.select("did", "th", s.alias("s"), n.alias("n"), a.alias("a"), "key", "content", "mixed"), "met")
-    release(spark, runs)
+    release(spark, runs, keys)
 
     mixed = met.where("mixed")
     contents = written(

@@ -64,3 +64,38 @@ def test_pruning():
     a = (np.array([1, 2, 3, 4, 9], np.uint32), np.array([4, 1]))
     b = (np.array([1, 9], np.uint32), np.array([1, 1]))
     assert spots.likeness(a, b).tolist() == [0.25, 1.0] and spots.likeness(a, b, 0.5).tolist() == [0.0, 1.0]
+
+
+def test_length_parts():
+    parts = spots.length_parts(80, 5000)
+    part = lambda n: int(np.searchsorted(parts, n, side="right"))
+    assert all(part(n * 100 // 80) - part(n) in (0, 1) for n in range(1, 4000))
+
+
+def test_duplicates(spark):
+    r = random.Random(2)
+    words = ["the", "of", "and"] + [f"w{k}" for k in range(400)]
+    out = []
+    for _ in range(8):
+        base = [r.choice(words[:3]) if r.random() < 0.4 else r.choice(words) for _ in range(r.choice([6, 60, 300]))]
+        for _ in range(8):
+            text = list(base)
+            for _ in range(int(len(text) * r.choice([0, 0.01, 0.03]))):
+                text[r.randrange(len(text))] = r.choice(words)
+            out.append(" ".join(text))
+    rows = list(enumerate([*out, "", None, "x", "x"]))
+    sets = [(i, naive(t)) for i, t in rows]
+    parent = {i: i for i, _ in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                p, q = root(i), root(j)
+                parent[max(p, q)] = min(p, q)
+    got = spots.spot_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_items, x.component_id) for x in got} == {i: (len(s), root(i)) for i, s in sets}
