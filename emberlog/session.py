@@ -1,4 +1,4 @@
-"""Making this package importable on executors that don't have it installed."""
+"""Settings of a session, and making this package importable on executors that don't have it installed."""
 
 from __future__ import annotations
 
@@ -10,11 +10,15 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 1024
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors once for each application; Spark keeps the file for those that join later."""
+    """Bounds Arrow batches and sends the package to the executors, once for each application; Spark keeps the file for those that join later."""
+    # rows hold whole texts: batches of the usual 10,000 rows would take much memory outside the heap
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
