@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import coded, mix64, ranges, sliced
+from emberlog.llm.common import coded, mix64, ranges, sliced, tidied
 from emberlog.llm.tokens import _Index
 
 BUCKETS = 1 << 15
@@ -92,6 +92,8 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     share = int(min(1.0, sample_docs / max(total, 1)) * (1 << 30))
     rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share) if share < 1 << 30 else rows
 
+    @tidied
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in sliced(batches, "text"):
@@ -202,9 +204,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         schema.add("lang_spans", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
     names = schema.names
 
+    @tidied
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model, switch) if model.languages else None
-        for batch in sliced(batches, text_col, 8 << 20):
+        for batch in sliced(batches, text_col, 4 << 20):
             texts = batch.column(batch.schema.get_field_index(text_col))
             number, distinct, n = letters_of(texts)
             pred, score = np.full(len(n), "und", object), np.zeros(len(n))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import buffers, connected_components, lots, mix64, opens_of, ranges, release, sliced, words_of, written
+from emberlog.llm.common import buffers, connected_components, lots, mix64, opens_of, ranges, release, sliced, tidied, words_of, written
 
 CHUNKS, WIDTH, ERRORS = 8, 5, 1
 COMPONENTS = CHUNKS * WIDTH
@@ -100,6 +100,7 @@ SIGNED = "id long, n long, s1 long, s2 long, sig binary, keys array<long>"
 
 
 def _sign(maker: Maker, buckets: Buckets | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidied
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = maker()
         for batch in sliced(batches, "text", 1 << 20):
@@ -130,6 +131,9 @@ def _slot_keys(sig: np.ndarray, chunk: np.ndarray | int, choice: np.ndarray | in
     return h.view(np.int64)
 
 
+@tidied
+
+
 def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, node): the buckets of each signature, the enumeration of the allowed chunk errors."""
     for batch in batches:
@@ -151,6 +155,8 @@ def _first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _near(similar: int, first_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pairs across components of small buckets that may be links; with `first_only` each in the first bucket it shares.  Sizes n bound the similarity."""
 
+    @tidied
+
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in lots(batches, ["key"]):
             sig = _matrix(lot.column("sig"))
@@ -198,6 +204,8 @@ def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _links(similar: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Links across components within pairs of blocks of full sets, enough of them to connect what they connect."""
 
+    @tidied
+
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in lots(batches, ["key", "i", "j"], "sig", 1 << 16):
             ids = [np.asarray(lot.column(x)) for x in ("key", "i", "j")]
@@ -242,6 +250,7 @@ def _links(similar: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def _sets(maker: Maker) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidied
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = maker()
         for batch in sliced(batches, "text", 1 << 20):
@@ -294,6 +303,8 @@ def linked(docs: DataFrame, maker: Maker, similar: int, id_col: str, text_col: s
 
     pairs = members.where("node <> hub").select("node", "hub").distinct()
 
+    @tidied
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(axis=1)

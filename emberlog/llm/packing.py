@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import sliced, written
+from emberlog.llm.common import sliced, tidied, written
 from emberlog.llm.tokens import with_end, word_tokenizer
 
 LENGTH, CLASSES, LOT = 2048, 128, 1024
@@ -190,6 +190,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id
     spark = docs.sparkSession
     unit = length // CLASSES
 
+    @tidied
+
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(tokenizer)
         small = encode.tokenizer.get_vocab_size() <= 1 << 16
@@ -230,6 +232,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id
         "pid", F.coalesce(F.sum("fulls").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("full_start")
     )
 
+    @tidied
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c, rank = np.asarray(batch.column("class")), np.asarray(batch.column("rank"))
@@ -256,6 +260,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id
     lists = tails.groupBy("uid").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
     whole = tokens.join(full_start, "pid").join(lists, "uid", "left").select("doc_id", "n", (F.col("full") + F.col("full_start")).alias("full"), "width", "ids", "pieces")
 
+    @tidied
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "ids"):
             out: list[tuple] = []

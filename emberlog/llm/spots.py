@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import buffers, mix64, partitions_of, ranges, sliced, words_of
+from emberlog.llm.common import buffers, mix64, partitions_of, ranges, sliced, tidied, words_of
 from emberlog.llm.minhash import Buckets, linked
 from emberlog.llm.tokens import _Index
 
@@ -191,6 +191,8 @@ def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dealt = rows.select("did", "th", "doc_id", "text", F.explode(places).alias("p")).select("p.block", "p.head", "did", "th", "doc_id", "text")
     dealt = dealt.repartition("block").sortWithinPartitions("block", "head", F.desc("did"), "th")
 
+    @tidied
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spotter = Spotter()
         held: list[tuple] = []  # the last row, which waits for its next

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import buffers, lots, mix64, opens_of, ranges, release, sliced, written
+from emberlog.llm.common import buffers, lots, mix64, opens_of, ranges, release, sliced, tidied, written
 
 LENGTH, Q = 200, 32
 #: A key with more contents than this is dealt by blocks of windows, and a block with more rows by windows.
@@ -195,6 +195,7 @@ RUN = "did long, th long, at long, key long, content long"
 
 
 def _emit_runs(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidied
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             data, offsets = buffers(batch.column(2).fill_null(""))
@@ -214,6 +215,8 @@ FETCHED = "did long, th long, s int, n int, key long, t int, w long, body binary
 def _fetch(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Bytes of the runs asked for; those of large keys in blocks, keyed anew by what the windows of a block share."""
 
+    @tidied
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("t", pa.int32()), ("w", pa.int64()), ("body", pa.binary())])
         for batch in sliced(batches, "text"):
@@ -263,6 +266,8 @@ WINDOW = "did long, th long, s int, n int, key long, t int, w long"
 def _windows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Each window of the blocks, with its place to the anchor and its hash."""
 
+    @tidied
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "body"):
             data, offsets = buffers(batch.column("body"))
@@ -287,6 +292,8 @@ MARK = "did long, th long, s int, n int"
 def _sort_suffixes(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of rows sorted by key, the runs of windows that occur again; sorted in lots of whole keys."""
 
+    @tidied
+
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in lots(batches, ["key"], "body", SORT_BYTES):
             data, offsets = buffers(lot.column("body"))
@@ -376,6 +383,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def span_digest(marked: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay, from `suffix_dedup`."""
 
+    @tidied
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             data, offsets = buffers(batch.column(1).fill_null(""))
@@ -401,6 +410,8 @@ def without_spans(marked: DataFrame, text_col: str = "text", length: int = LENGT
     columns = [c for c in marked.columns if c != "_marks"]
     schema = marked.select(*columns).schema
 
+    @tidied
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):
             at_text = batch.schema.get_field_index(text_col)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import fresh_path, ranges, sliced, words_of, written
+from emberlog.llm.common import fresh_path, ranges, sliced, tidied, words_of, written
 
 #: Distinct chunks, and bytes of them, that a Python worker remembers.
 CACHED_CHUNKS, CACHED_BYTES = 600_000, 16 << 20
@@ -204,6 +204,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     whole files.  Texts may hold the tokenizer's special strings; they are text, never separators.
     """
 
+    @tidied
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(tokenizer, specials_are_text=True)
         fs, path = pafs.FileSystem.from_uri(folder)
@@ -247,6 +249,8 @@ def count_tokens(spark: SparkSession, folder: str, end_id: int, width: int = 2,
     blocks = files.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") / width - 1) / block_ids))).alias("block"))
     blocks = blocks.repartition(F.col("file"), F.col("block"))
 
+    @tidied
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
         for batch in batches:

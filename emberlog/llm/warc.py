@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import fresh_path, lots, sliced, written
+from emberlog.llm.common import fresh_path, lots, sliced, tidied, written
 
 SEGMENT, CHUNK, SMALL = 64 << 10, 8 << 10, 100
 #: Bytes after which a task begins another archive.
@@ -85,28 +85,15 @@ def page_records(name: str, url: str | None, payload: bytes, digest: str, refers
 
 def records(source) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-case names) and bodies of the records of an archive, read as a stream."""
-    raw, inflate = b"", zlib.decompressobj(31)
-    done = False
-    while not done or raw:
-        while not inflate.eof:
-            got = source.read(1 << 20) if not inflate.unconsumed_tail else b""
-            if not got and not inflate.unconsumed_tail:
-                done = True
-                break
-            raw += inflate.decompress(got or inflate.unconsumed_tail)
+    inflate, member, more = zlib.decompressobj(31), [], b""
+    while data := more or source.read(1 << 20):
+        member.append(inflate.decompress(data))
+        more = inflate.unused_data
         if inflate.eof:
-            rest = inflate.unused_data or source.read(1 << 20)
-            inflate = zlib.decompressobj(31)
-            if rest:
-                member, raw = raw, b""
-                raw = b""
-                yield _parsed(member)
-                raw += inflate.decompress(rest)
-                continue
-            done = True
-        if raw:
-            yield _parsed(raw)
-            raw = b""
+            yield _parsed(b"".join(member))
+            inflate, member = zlib.decompressobj(31), []
+    if any(member):
+        raise ValueError("an archive is cut off")
 
 
 def _parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -148,6 +135,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", html_
     refers = F.when(F.col("first").isNotNull() & (F.col("first.row") != F.col("row")) & (F.octet_length("html") >= SMALL), F.col("first"))
     joined = joined.select("page", "row", "url", "html", "digest", refers["p"].alias("rp"), refers["row"].alias("rr"))
 
+    @tidied
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
@@ -187,6 +176,8 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame) -> DataFra
     An incomplete or broken record raises ValueError.  A revisit has no payload of its own (null).
     """
 
+    @tidied
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
         schema = pa.schema([("record", pa.string()), ("page", pa.int64()), ("type", pa.string()), ("refers", pa.int64()), ("digest", pa.string()), ("length", pa.int64()), ("total", pa.int64()), ("number", pa.int32()), ("body", pa.binary())])
@@ -219,6 +210,8 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame) -> DataFra
 def assembled(found: DataFrame) -> DataFrame:
     """Whole records from those of `read_archives`, segments grouped by origin and put in order."""
 
+    @tidied
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in lots(batches, ["record"], "body", 4 << 20):
             out: list[tuple] = []
