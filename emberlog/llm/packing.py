@@ -216,6 +216,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id
                 [pa.array(uid), batch.column(0).cast(pa.int64()), pa.array([pid] * len(n), pa.int32()), pa.array(n), pa.array(before), pa.array(c.astype(np.int32)), pa.array(rank), pa.array([ids.itemsize] * len(n), pa.int32()), body],
                 names=["uid", "doc_id", "pid", "n", "full", "class", "rank", "width", "ids"],
             )
+        encode.forget()
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     tokens = written(slim.mapInArrow(tokenize, "uid long, doc_id long, pid int, n long, full long, class int, rank long, width int, ids binary"), "packed")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from emberlog.llm.common import fresh_path, ranges, sliced, tidied, words_of, written
 
 #: Distinct chunks, and bytes of them, that a Python worker remembers.
-CACHED_CHUNKS, CACHED_BYTES = 600_000, 16 << 20
+CACHED_CHUNKS, CACHED_BYTES = 400_000, 16 << 20
 _STOPS = frozenset(".,;:!?")
 
 
@@ -42,9 +42,9 @@ class ChunkCache:
 
     def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]]) -> None:
         self.encode = encode
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.index, self.bytes = _Index(), 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends, self.count = np.zeros(1 << 14, np.int64), 0
@@ -79,7 +79,7 @@ class ChunkCache:
 
     def _gathered(self, keys: Iterator, count: int, number: np.ndarray | None, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > CACHED_CHUNKS or self.bytes > CACHED_BYTES:
-            self._clear()
+            self.clear()
         known = np.fromiter(map(self.index.__getitem__, keys), np.int64, count)
         self._learn()
         number = known if number is None else known[number]
@@ -120,6 +120,11 @@ class WordTokenizer:
         self.words = ChunkCache(self._encode)
         self.cache = ChunkCache(self._parted)
 
+    def forget(self) -> None:
+        """Drops what was learned; done after each task, as idle workers stay in memory."""
+        self.cache.clear()
+        self.words.clear()
+
     def _parted(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks, a stop behind a letter or digit apart."""
         parts: list[str] = []
@@ -178,7 +183,7 @@ class WordTokenizer:
 
 @lru_cache(maxsize=2)
 def word_tokenizer(path: str, specials_are_text: bool = False) -> WordTokenizer:
-    """One for a Python worker, whose tasks share what it has learned."""
+    """One for a Python worker; reading the file takes longer than a small task."""
     return WordTokenizer(path, specials_are_text)
 
 
@@ -220,6 +225,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(position, position + n)), batch.column(0).cast(pa.int64())], names=["file", "position", "doc_id"])
             position += n
+        encode.forget()
         if out:
             out.close()
             fs.move(part, f"{path}/{name}")
