@@ -20,11 +20,6 @@ from emberlog.plans.compiler import Request, compile_query, tail_predicates
 from emberlog.plans.parser import parse
 from emberlog.sources import adapters, lines, synthetic
 
-#: Wide enough for all rows of a view.
-SPAN = {
-    "ev": (datetime(2024, 1, 1), datetime(2024, 2, 1)), "evf": (datetime(2024, 1, 1), datetime(2024, 2, 1)), "doc": (datetime(2023, 1, 1), datetime(2040, 1, 1)),
-    "conv": (datetime(2023, 1, 1), datetime(2060, 1, 1)), "ord": (datetime(1990, 1, 1), datetime(2010, 1, 1)),
-}
 RECORD = "time, seq, service, host, env, level, message"
 _NUM = r"'^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$'"
 _LOGFMT = "trim(regexp_extract(message, '(?:^|\\s){k}=(\"[^\"\\s]*\\s[^\"]*\"|\\S*)', 1), '\"')"
@@ -48,8 +43,7 @@ def records(name: str, view: str, text: str, where: str, forward: bool = False,
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         catalog = adapters.catalog_of(adapters.VIEWS[view](spark, sf_dir))
-        start, end = SPAN[view]
-        plan = compile_query(text, Request(start, end, limit, forward), catalog)
+        plan = compile_query(text, Request(None, None, limit, forward), catalog)
         return with_labels(plan.df, catalog.streams).select(*RECORD.split(", "))
 
     way = "" if limit is None else f" ORDER BY time {'ASC' if forward else 'DESC'}, seq {'ASC' if forward else 'DESC'} LIMIT {limit}"
@@ -62,8 +56,7 @@ def points(name: str, view: str, text: str, width: str, value: str, where: str =
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         catalog = adapters.catalog_of(adapters.VIEWS[view](spark, sf_dir))
         catalog = adapters.with_rollups(catalog) if rollups else catalog
-        start, end = SPAN[view]
-        df = compile_query(text, Request(start, end), catalog).df
+        df = compile_query(text, Request(None, None), catalog).df
         return df.withColumn("level", F.col("level").cast("int")) if "level" in df.columns else df
 
     group = f", {by}" if by else ""
@@ -365,7 +358,6 @@ def oracle_sql() -> dict[str, str]:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors by the hour."""
     catalog = adapters.catalog_of(adapters.ev_rows(spark, sf_dir))
-    start, end = SPAN["ev"]
-    return compile_query('{service="error"} | count_over_time(1h)', Request(start, end), catalog).df
+    return compile_query('{service="error"} | count_over_time(1h)', Request(None, None), catalog).df
 
 

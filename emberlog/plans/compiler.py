@@ -40,10 +40,13 @@ class Catalog:
 
 @dataclass(frozen=True)
 class Request:
-    """Half-open time range; times are UTC, with or without zone.  No limit gives all rows."""
+    """Half-open time range; times are UTC, with or without zone.  No limit gives all rows.
 
-    start: datetime
-    end: datetime
+    A side that is None is open; with both open, rows without a time belong to the range too.
+    """
+
+    start: datetime | None
+    end: datetime | None
     limit: int | None = 1000
     forward: bool = False
 
@@ -52,8 +55,8 @@ class Request:
 class Plan:
     df: DataFrame
     source: str
-    start: datetime
-    end: datetime
+    start: datetime | None
+    end: datetime | None
 
 
 def naive(t: datetime) -> datetime:
@@ -71,9 +74,9 @@ def floored(t: datetime, seconds: int) -> datetime:
     return ORIGIN + (naive(t) - ORIGIN) // timedelta(seconds=seconds) * timedelta(seconds=seconds)
 
 
-def widened(start: datetime, end: datetime, seconds: int) -> tuple[datetime, datetime]:
-    low, high = floored(start, seconds), floored(end, seconds)
-    return low, high if high == naive(end) else high + timedelta(seconds=seconds)
+def widened(start: datetime | None, end: datetime | None, seconds: int) -> tuple[datetime | None, datetime | None]:
+    low, high = (t and floored(t, seconds) for t in (start, end))
+    return low, high if end is None or high == naive(end) else high + timedelta(seconds=seconds)
 
 
 def bucket(time: Column, seconds: int) -> Column:
@@ -165,12 +168,17 @@ def label_predicate(f: LabelFilter, extract: Extractor) -> Column:
     return text_predicate(F.coalesce(value, F.lit("")), f.op, f.value)
 
 
-def in_range(df: DataFrame, start: datetime, end: datetime, column: str, partition: str | None) -> DataFrame:
+def in_range(df: DataFrame, start: datetime | None, end: datetime | None, column: str, partition: str | None) -> DataFrame:
     kind = df.schema[column].dataType
-    df = df.where((F.col(column) >= moment(start, kind)) & (F.col(column) < moment(end, kind)))
+    if start is not None:
+        df = df.where(F.col(column) >= moment(start, kind))
+    if end is not None:
+        df = df.where(F.col(column) < moment(end, kind))
     if partition is not None:  # the same range on the partition column prunes files
-        last = naive(end) - timedelta(microseconds=1)
-        df = df.where(F.col(partition).between(F.lit(naive(start).date()), F.lit(last.date())))
+        if start is not None:
+            df = df.where(F.col(partition) >= F.lit(naive(start).date()))
+        if end is not None:
+            df = df.where(F.col(partition) <= F.lit((naive(end) - timedelta(microseconds=1)).date()))
     return df
 
 
@@ -185,7 +193,7 @@ def compile_query(query: Query | str, request: Request, catalog: Catalog) -> Pla
     source = source_of(query) if catalog.rollups else "logs"
     if source != "logs" and source not in (catalog.rollups or {}):
         source = "logs"
-    start, end = widened(request.start, request.end, agg.seconds) if agg else (naive(request.start), naive(request.end))
+    start, end = widened(request.start, request.end, agg.seconds) if agg else tuple(t and naive(t) for t in (request.start, request.end))
     time = "time" if source == "logs" else "bucket"
     table = catalog.logs if source == "logs" else catalog.rollups[source]
     rows = in_range(table, start, end, time, catalog.partition if source == "logs" else None)
@@ -215,7 +223,10 @@ def aggregated(rows: DataFrame, agg: Aggregation, time: str, source: str, extrac
         "count_over_time": number.cast("double"),
         "bytes_over_time": F.sum(F.octet_length("message")).cast("double"),
     }[agg.func]
-    points = rows.groupBy(bucket(F.col(time), agg.seconds).alias("bucket"), *keys).agg(value.alias("value"))
+    # a window alone would drop rows without a time, which are a bucket of their own
+    at = F.coalesce(F.col(time), moment(ORIGIN, rows.schema[time].dataType))
+    start = F.when(F.col(time).isNotNull(), bucket(at, agg.seconds))
+    points = rows.groupBy(start.alias("bucket"), *keys).agg(value.alias("value"))
     first = F.col("bucket").asc() if forward else F.col("bucket").desc()
     return points.orderBy(first, *(F.col(name).asc_nulls_last() for name in agg.by))
 
