@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import language, lines, minhash, packing, suffix
-from emberlog.llm.common import fresh_path, table
+from emberlog.llm.common import fresh_path, table, written
 from emberlog.llm.queries import _tokenizer
 from emberlog.session import ship
 
@@ -53,12 +53,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_shipped
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near-duplicates (five words, 0.8), one row of it."""
-    kept = minhash.near_duplicates(docs, words=5, similar=80).where("kept").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi")
-    again = rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    single = rows.join(again, "doc_id", "left_anti")
-    repeated = rows.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one row of each group of near-duplicates (five words, 0.8), that of the smallest id, a null id last.
+
+    Rows are named by id and text: other texts under the same id, or without one, are other documents.
+    """
+    kept = written(minhash.representatives(docs, words=5, similar=80), "kept")
+    rows = docs.withColumns(minhash.row_key()).join(kept, ["id", "th"])
+    single = rows.where("copies = 1")
+    repeated = rows.where("copies > 1").dropDuplicates(["id", "text"])
     return single.unionByName(repeated).select(*COLUMNS)
 
 

@@ -96,7 +96,7 @@ Maker = Callable[[], Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]]
 #: Sets and sizes to all buckets of the sets, and the buckets of each.
 Buckets = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-SIGNED = "id long, n long, s1 long, s2 long, sig binary, keys array<long>"
+SIGNED = "id long, th long, n long, s1 long, s2 long, sig binary, keys array<long>"
 
 
 def _sign(maker: Maker, buckets: Buckets | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -112,7 +112,7 @@ def _sign(maker: Maker, buckets: Buckets | None) -> Callable[[Iterator[pa.Record
             if buckets is not None:
                 own, count = buckets(sets, sizes)
                 keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(own.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(s1), pa.array(s2), body, keys], names=["id", "n", "s1", "s2", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.array(s1), pa.array(s2), body, keys], names=["id", "th", "n", "s1", "s2", "sig", "keys"])
 
     return sign
 
@@ -279,19 +279,48 @@ def near_duplicates(docs: DataFrame, words: int = 5, similar: int = 80, id_col:
     Two documents are linked if 100 * |A & B| >= similar * |A | B| for their sets of `words`-word
     shingles (a shorter text is one shingle).  component_id is the smallest id that links reach, its
     own for documents without words, which link with nothing; kept tells that it is the row's own.
-    Repeated rows are equal sets.  A null id takes part, comes last as a representative and has a null
-    component if nothing else is in it.  Pairs at the similarity itself are missed with a probability of
+    Rows are linked by their texts, never by a common id.  A null id takes part, comes last as a
+    representative and has a null component if nothing else is in it.  Pairs at the similarity itself are missed with a probability of
     about 3e-5 by their signatures (0.26 ** 8 meet in no bucket), more similar pairs with less.
     """
     return linked(docs, lambda: Shingler(words), similar, id_col, text_col).withColumnRenamed("n_items", "n_shingles")
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> dict[str, Column]:
+    """What names a row: its id, the largest number for a null one, and the hash of its text."""
+    return {"id": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "th": F.xxhash64(text_col)}
+
+
+def representatives(docs: DataFrame, words: int = 5, similar: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, copies): the `row_key` of one row of each group of near-duplicates, and the rows that have it.
+
+    It is the row of the smallest id, null last, and of these that of the smallest hash.  Every row
+    without words is a group, but rows with the same key are one.
+    """
+    rows = components(docs, lambda: Shingler(words), similar, id_col, text_col)
+    return rows.where("id = best.id and th = best.th").groupBy("id", "th").agg(F.count("*").alias("copies"))
+
+
 def linked(docs: DataFrame, maker: Maker, similar: int, id_col: str, text_col: str, buckets: Buckets | None = None) -> DataFrame:
     """(doc_id, n_items, component_id, kept) for the sets that `maker` makes; without `buckets` sets meet by their signatures."""
+    out = components(docs, maker, similar, id_col, text_col, buckets)
+    component = F.col("best.id")
+    return out.select(
+        F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), F.col("n").alias("n_items"), F.when(component != _NO_ID, component).alias("component_id"), (F.col("id") == component).alias("kept")
+    )
+
+
+def components(docs: DataFrame, maker: Maker, similar: int, id_col: str, text_col: str, buckets: Buckets | None = None) -> DataFrame:
+    """(id, th, n, best) of every row: its key, the size of its set, and the smallest key (id, th) of its component.
+
+    Nodes are the distinct sets, numbered as they are written; ids only name the components.
+    """
     spark = docs.sparkSession
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    key = row_key(id_col, text_col)
+    slim = docs.select(key["id"].alias("id"), F.col(text_col).alias("text"), key["th"].alias("th"))
     signed = written(slim.mapInArrow(_sign(maker, buckets), SIGNED), "signed")
-    nodes = written(signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "nodes")
+    sets = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "th")).alias("first"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    nodes = written(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
     filed = nodes.select("node", "sig").mapInArrow(_file, "key long, node long") if buckets is None else nodes.select(F.explode("keys").alias("key"), "node")
     hubs = filed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
     # tables of their own, so that Spark can split the large partitions of the joins with them
@@ -299,7 +328,7 @@ def linked(docs: DataFrame, maker: Maker, similar: int, id_col: str, text_col: s
     release(spark)
     members = written(filed.join(hubs, "key"), "members")
     release(spark, hubs)
-    signature = written(nodes.select("node", "sig", "n").dropDuplicates(["node"]), "signature")
+    signature = nodes.select("node", "sig", "n")
 
     pairs = members.where("node <> hub").select("node", "hub").distinct()
 
@@ -316,8 +345,8 @@ def linked(docs: DataFrame, maker: Maker, similar: int, id_col: str, text_col: s
 
     def sets_of(ends: DataFrame) -> DataFrame:
         """(node, set) of nodes, from the texts."""
-        named = ends.distinct().join(nodes.select("node", "s1"), "node")
-        sets = slim.select(F.col("id").alias("node"), "text").join(named, "node").select("node", "text", "s1").mapInArrow(_sets(maker), "node long, set array<long>")
+        named = ends.distinct().join(nodes.select("node", "s1", "first.id", "first.th"), "node")
+        sets = slim.join(named, ["id", "th"]).select("node", "text", "s1").mapInArrow(_sets(maker), "node long, set array<long>")
         return written(sets.dropDuplicates(["node"]), "sets")
 
     def confirmed(candidates: DataFrame) -> DataFrame:
@@ -354,10 +383,11 @@ def linked(docs: DataFrame, maker: Maker, similar: int, id_col: str, text_col: s
         labels = connected_components(links)
     release(spark, members)
 
-    same = nodes.select("s1", "s2", "n", "node").join(labels, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component"))
-    out = signed.select("id", "n", "s1", "s2").join(same, ["s1", "s2", "n"], "left")
-    own = F.when(F.col("id") != _NO_ID, F.col("id"))
-    component = F.coalesce("component", "id")
-    return out.select(
-        own.alias("doc_id"), F.col("n").alias("n_items"), F.when(component != _NO_ID, component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")
-    )
+    own = F.struct("id", "th")
+    ends = labels.join(nodes.select("node", "first"), "node")
+    # a table of its own, so that Spark can split a large component
+    best = written(ends.groupBy("component").agg(F.min("first").alias("best")), "best")
+    reached = labels.join(best, "component").select("node", "best")
+    same = nodes.select("s1", "s2", "n", "node", "first").join(reached, "node", "left").select("s1", "s2", "n", F.coalesce("best", "first").alias("best"))
+    out = signed.select("id", "th", "n", "s1", "s2").join(same, ["s1", "s2", "n"], "left")
+    return out.select("id", "th", "n", F.coalesce("best", own).alias("best"))

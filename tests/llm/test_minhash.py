@@ -60,3 +60,18 @@ def test_empty_table_nulls_and_repeats(spark):
     got = sorted(map(str, map(tuple, minhash.near_duplicates(df).collect())))
     assert got == sorted(["(None, 1, 7, False)", "(7, 1, 7, True)", "(7, 1, 7, True)", "(None, 0, None, True)", "(9, 0, 9, True)"])
     assert minhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_other_texts_under_one_id(spark):
+    """Null and repeated ids name no set: each text is linked by what it holds."""
+    r = random.Random(4)
+    base = [" ".join(f"w{r.randint(0, 9999)}" for _ in range(80)) for _ in range(30)]
+    near = [t + " end" for t in base]
+    rows = [(None if k % 2 else 7, t) for k, t in enumerate(base)] + [(100 + k, t) for k, t in enumerate(near)] + [(3, near[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [3 if k == 0 else 100 + k if k % 2 else 7 for k in range(30)]
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+    assert {c for i, c, _ in got if i == 100} == {3} and {c for i, c, _ in got if i == 7} == {3, 7}
+    for k in range(1, 30):
+        assert {(c, kept) for i, c, kept in got if i == 100 + k} == {(want[k], k % 2 == 1)}
+    assert minhash.representatives(df).count() == 30

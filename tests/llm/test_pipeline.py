@@ -69,3 +69,15 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, "")
         assert out.count() == 0
+
+
+def test_near_dedup_keeps_texts_of_null_and_repeated_ids(spark):
+    r = random.Random(6)
+    base = [" ".join(f"w{r.randint(0, 9999)}" for _ in range(80)) for _ in range(12)]
+    ids = [None, None, None, None, 5, 5, 5, 5, 1, 2, 3, 4]
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip(ids, base, strict=True)]
+    copies = [(None, base[0] + " end", "en", "s", 0), rows[1], rows[4], (5, base[5] + " end", "en", "s", 0), (9, base[2] + " end", "en", "s", 0), (None, base[8], "en", "s", 0)]
+    docs = spark.createDataFrame(rows + copies, SCHEMA)
+    got = [(d.doc_id, d.text.removesuffix(" end")) for d in corpus_pipeline.dedup_near(spark, docs, "").collect()]
+    want = [(9 if k == 2 else i, t) for k, (i, t) in enumerate(zip(ids, base, strict=True))]
+    assert sorted(map(str, got)) == sorted(map(str, want))
