@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,19 +52,48 @@ def routing_token(value: Column) -> Column:
     return F.when(token == "", "_").otherwise(token)
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the bytes that each line takes by those of the lines before it in its split; splits follow one another."""
+    split, done = None, 0
+    for batch in batches:
+        taken = np.asarray(batch.column(2))
+        before = np.cumsum(taken) - taken
+        block = np.asarray(batch.column(1))
+        path = batch.column(0).dictionary_encode()
+        code = np.asarray(path.indices)
+        opens = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (code[1:] != code[:-1]))) if len(block) else []
+        parts = []
+        for first, last in zip(opens, [*opens[1:], len(block)], strict=True):
+            here = (path.dictionary[int(code[first])].as_py(), int(block[first]))
+            if here != split:
+                split, done = here, 0
+            parts.append(before[first:last] - before[first] + done)
+            done += int(taken[first:last].sum())
+        yield batch.set_column(2, "taken", pa.array(np.concatenate(parts) if parts else taken, pa.int64()))
+
+
 def text_lines(spark: SparkSession, path: str, time: datetime | None = None) -> DataFrame:
-    """(source, time, seq, line) of closed text files.
+    """(source, time, seq, line) of closed text files; a line feed ends a line.
 
-    seq numbers the lines of a file by place, so reading again gives the same rows, and time is the
-    file's modification time (or the one given), never the time of reading: replays are duplicates.
+    seq is the byte offset of the line in its file, so reading again gives the same rows however files
+    are split and packed, and time is the file's modification time (or the one given), never the time of
+    reading: replays are duplicates.  Files are read twice, once for the bytes that the lines of each split take.
     """
-    rows = spark.read.format("text").load(path).select(
-        F.col("_metadata.file_path").alias("source"),
-        (F.lit(time).cast("timestamp") if time else F.col("_metadata.file_modification_time")).alias("time"),
-        (F.col("_metadata.file_block_start") * F.lit(1 << 20) + F.monotonically_increasing_id() % F.lit(1 << 20)).alias("seq"),
-        assembled(F.col("value")).alias("line"),
+    rows = spark.read.format("text").option("lineSep", "\n").load(path).select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"),
+        (F.octet_length("value") + 1).cast("long").alias("taken"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").cast("binary").alias("raw"),
+    )
+    # a few rows for each file: where the lines of each split begin
+    splits = rows.groupBy("source", "block").agg(F.sum("taken").alias("all"))
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = splits.select("source", "block", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("begin"))
+    placed = rows.mapInArrow(_placed, rows.schema).join(begins, ["source", "block"])
+    return placed.select(
+        "source",
+        (F.lit(time).cast("timestamp") if time else F.col("modified")).alias("time"),
+        (F.col("begin") + F.col("taken")).alias("seq"),
+        assembled(F.col("raw").cast("string")).alias("line"),
     )
-    return rows
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:

@@ -104,6 +104,33 @@ def test_stream_restarts(spark, tmp_path):
     assert run("lost") == 30  # all is read again, nothing is stored again
 
 
+def test_lines_are_numbered_by_byte_offset(spark, tmp_path):
+    """More than 2^20 short lines in a split, and the same numbers however files are split and packed."""
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "a.log").write_bytes(b"x\n" * ((1 << 20) + 5))
+    many = lines.text_lines(spark, f"file://{tmp_path}/many")
+    assert many.agg(F.count("*"), F.count_distinct("seq"), F.max("seq")).first()[:] == ((1 << 20) + 5, (1 << 20) + 5, 2 * (1 << 20) + 8)
+    r = random.Random(3)
+    want = set()
+    (tmp_path / "some").mkdir()
+    for name in ("b.log", "c.log", "d.log"):
+        texts = ["é" * r.randint(0, 9) + r.choice(["", "\r", "a\rb"]) for _ in range(400)]
+        data, at = "\n".join(texts).encode(), 0
+        (tmp_path / "some" / name).write_bytes(data)
+        for k, t in enumerate(texts):
+            if k < len(texts) - 1 or t:
+                want.add((name, at, t.removesuffix("\r")))
+            at += len(t.encode()) + 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("97", "1000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = lines.text_lines(spark, f"file://{tmp_path}/some").collect()
+            assert len(got) == len(want) and {(x.source.rpartition("/")[2], x.seq, x.line) for x in got} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_tail_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([row(k, k) for k in range(30)], SCHEMA).write.parquet(source)
