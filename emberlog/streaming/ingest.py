@@ -128,20 +128,20 @@ def _days_replaced(spark: SparkSession, path: str, before: DataFrame | None, cou
 def start(rows: DataFrame, store: Store, checkpoint: str, now: datetime | None = None, once: bool = False) -> StreamingQuery:
     """A stream of records with labels into the store.
 
-    Duplicates within the accepted lateness go by state before they are written; those of a lost
-    checkpoint by the key that is stored.  Delivery is at least once, storage is exactly once.
+    Duplicates go by the key that is stored.  There is no watermark: times are judged batch by batch, so
+    one that is refused drops no other record, and late records reach `rejected`.  Delivery is at least
+    once, storage is exactly once.
     """
-    deduped = rows.withWatermark("time", LATE).dropDuplicatesWithinWatermark(["service", "host", "env", "pairs", "seq", "time"]) if "pairs" in rows.columns else rows
 
     def batch(df: DataFrame, _: int) -> None:
         write_batch(df.drop("pairs"), store, now)
 
-    writer = deduped.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
 def keyed(rows: DataFrame) -> DataFrame:
-    """Adds the labels as sorted pairs, which state can be keyed by (maps can't)."""
+    """Adds the labels as sorted pairs, which state can be keyed by (maps can't); `start` takes rows with or without them."""
     return rows.withColumn("pairs", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("labels")))))
 
 

@@ -104,6 +104,20 @@ def test_stream_restarts(spark, tmp_path):
     assert run("lost") == 30  # all is read again, nothing is stored again
 
 
+def test_stream_judges_times_itself(spark, tmp_path):
+    """A refused time in the future drops no record of later batches; a late one is told as rejected."""
+    store, source = ingest.Store(str(tmp_path / "store")), str(tmp_path / "in")
+    batches = [[row(0), row(1, time=datetime(2099, 1, 1))], [row(2)], [row(3), row(4, time=NOW - timedelta(days=8)), row(0)]]
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        records = ingest.keyed(spark.readStream.schema(SCHEMA).parquet(source))
+        query = ingest.start(records, store, str(tmp_path / "c"), NOW, once=True)
+        query.awaitTermination(120)
+        assert query.exception() is None
+    assert sorted(r.seq for r in spark.read.parquet(store.logs).collect()) == [0, 2, 3]
+    assert {(r.seq, r.reason) for r in spark.read.parquet(store.rejected).collect()} == {(1, "time in the future"), (4, "time too old")}
+
+
 def test_lines_are_numbered_by_byte_offset(spark, tmp_path):
     """More than 2^20 short lines in a split, and the same numbers however files are split and packed."""
     (tmp_path / "many").mkdir()
