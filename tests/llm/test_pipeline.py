@@ -81,3 +81,9 @@ def test_near_dedup_keeps_texts_of_null_and_repeated_ids(spark):
     got = [(d.doc_id, d.text.removesuffix(" end")) for d in corpus_pipeline.dedup_near(spark, docs, "").collect()]
     want = [(9 if k == 2 else i, t) for k, (i, t) in enumerate(zip(ids, base, strict=True))]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_language_stage_without_labels(spark):
+    texts = ["a river", "", None, "123 456", "γη"]
+    docs = spark.createDataFrame([(k, t, None, "s", len(t or "")) for k, t in enumerate(texts)], SCHEMA)
+    assert sorted(d.doc_id for d in corpus_pipeline.identify_language(spark, docs, "").collect()) == [0, 4]
