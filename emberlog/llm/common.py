@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,18 +26,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where none is set."""
+    """The folder all executors share (spark.checkpoint.dir).
+
+    Where none is set a temporary folder serves, but only if driver and executors are one process; on a
+    cluster each machine would write to its own disk, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if found.isEmpty() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="emberlog-")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+#: Folders made since the last `swept` began.
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Deletes the folders that were made inside, but for those to keep, once what is inside has been written."""
+    before = len(_made)
+    yield
+    for path in [x for x in _made[before:] if x not in keep]:
+        delete(spark, path)
+    _made[before:] = [x for x in _made[before:] if x in keep]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -49,13 +77,42 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more, and lets Spark drop the shuffles of finished jobs."""
-    jvm = spark.sparkContext._jvm
     for table in tables:
-        for file in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            delete(spark, folder)
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Keys that are met by broadcast at most.
+HEAVY = 1000
+
+
+def unskewed(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """`rows` joined with `keys`, a written table of one row for each value of `on` and the number `c` of rows that hold it.
+
+    A value that more than one in HEAVY rows hold is met by broadcast, so its rows stay where they are;
+    there can't be more than HEAVY such values, whatever the size.  The others are met as Spark sees fit.
+    `c` goes.  `how` is inner or left_semi; both tables are read again, so they should be written ones.
+    """
+    most = max(rows.count() // HEAVY, 1)
+    hot, rest = keys.where(F.col("c") > most).drop("c"), keys.where(F.col("c") <= most).drop("c")
+    if hot.isEmpty():
+        return rows.join(rest, on, how)
+    hot = F.broadcast(hot)  # HEAVY rows at most
+    return rows.join(hot, on, how).unionByName(rows.join(hot.select(*on), on, "left_anti").join(rest, on, how))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed so that no column has one of them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

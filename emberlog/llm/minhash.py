@@ -9,8 +9,8 @@ Only components are asked for, so pairs inside a known component are never compa
 1. equal sets become one node;
 2. each node is compared with the nearest of the smallest nodes of its buckets;
 3. small buckets that still hold several components compare all nodes across them;
-4. nodes of larger such buckets form families, whose overlapping buckets are compared at once on full
-   sets, a pair of bounded blocks at a time; they tell only links that connect something new.
+4. nodes of larger such buckets form families, whose overlapping buckets are joined at once on full
+   sets (`families`), without comparing all pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import buffers, connected_components, lots, mix64, opens_of, ranges, release, sliced, tidied, words_of, written
+from emberlog.llm.families import family_links
 
 CHUNKS, WIDTH, ERRORS = 8, 5, 1
 COMPONENTS = CHUNKS * WIDTH
@@ -31,10 +32,8 @@ COMPONENTS = CHUNKS * WIDTH
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Pairs that meet are compared up to this distance, which a pair of the similarity passes but for 1e-5.
 COMPARED = 19
-#: Buckets of at most so many rows are compared pair by pair, larger ones in families.
+#: Buckets of at most so many rows are compared pair by pair, larger ones as families.
 SMALL = 12
-#: Bytes of full sets in a block of a family.
-FAMILY_BYTES = 4 << 20
 _CHOICES = list(combinations(range(WIDTH), WIDTH - ERRORS))
 _ODD = mix64(np.arange(1, COMPONENTS + 1, dtype=np.uint64)) | np.uint64(1)
 _NO_ID = 2**63 - 1
@@ -183,72 +182,6 @@ def _near(similar: int, first_only: bool) -> Callable[[Iterator[pa.RecordBatch]]
     return near
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of pairs of components, the places of those that are enough to connect all that they connect."""
-    root: dict[int, int] = {}
-
-    def of(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = x = root[up]
-        return x
-
-    keep = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        p, q = of(x), of(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            keep.append(k)
-    return np.array(keep, np.int64)
-
-
-def _links(similar: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links across components within pairs of blocks of full sets, enough of them to connect what they connect."""
-
-    @tidied
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot in lots(batches, ["key", "i", "j"], "sig", 1 << 16):
-            ids = [np.asarray(lot.column(x)) for x in ("key", "i", "j")]
-            opens = opens_of(*ids)
-            for first, last in zip(opens.tolist(), [*opens[1:].tolist(), lot.num_rows], strict=True):
-                part = lot.slice(first, last - first)
-                node, comp, block = (np.asarray(part.column(x)) for x in ("node", "comp", "block"))
-                sig, lists = _matrix(part.column("sig")), part.column("set")
-                size = np.diff(np.asarray(lists.offsets)).astype(np.int64)
-                ok = np.triu(comp[:, None] != comp[None, :], 1)
-                if ids[1][first] != ids[2][first]:
-                    ok &= block[:, None] != block[None, :]
-                ok &= 100 * np.minimum(size[:, None], size[None, :]) >= similar * np.maximum(size[:, None], size[None, :])
-                if not ok.any():
-                    continue
-                distance = np.zeros(ok.shape, np.uint8)
-                for k in range(COMPONENTS):
-                    distance += sig[:, k, None] != sig[None, :, k]
-                ok &= distance <= COMPARED
-                if not ok.any():
-                    continue
-                # products of the incidence matrix, some columns at a time; shingles of one set alone don't count
-                _, shingle, count = np.unique(np.asarray(lists.flatten()), return_inverse=True, return_counts=True)
-                shared = count > 1
-                place = np.cumsum(shared) - 1
-                row = np.repeat(np.arange(len(size)), size)[shared[shingle]]
-                column = place[shingle[shared[shingle]]]
-                by = np.argsort(column, kind="stable")
-                row, column = row[by], column[by]
-                common = np.zeros(ok.shape, np.float32)
-                for at in range(0, int(shared.sum()), 2048):
-                    low, high = np.searchsorted(column, (at, at + 2048))
-                    block_of = np.zeros((len(size), 2048), np.float32)
-                    block_of[row[low:high], column[low:high] - at] = 1
-                    common += block_of @ block_of.T
-                ok &= 100 * common >= similar * (size[:, None] + size[None, :] - common)
-                x, y = np.nonzero(ok)
-                keep = spanning(comp[x], comp[y])
-                yield pa.RecordBatch.from_arrays([pa.array(node[x[keep]]), pa.array(node[y[keep]])], names=["a", "b"])
-
-    return links
-
-
 def _sets(maker: Maker) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     @tidied
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,15 +197,6 @@ def _sets(maker: Maker) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return sets_of
 
 
-def dealt(rows: DataFrame, blocks: Column, *more: str) -> DataFrame:
-    """Rows of groups (key) of any size, each sent to all pairs of blocks (i, j) of its group that hold its own block."""
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("blocks", blocks).select("key", "node", "comp", *more, block.alias("block"), "blocks")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", *more)
-    return rows
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, similar: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
@@ -371,15 +295,13 @@ def components(docs: DataFrame, maker: Maker, similar: int, id_col: str, text_co
     if not fresh.isEmpty():
         links = links.union(confirmed(fresh))
         labels = connected_components(links)
-    # families of nodes whose large buckets overlap: all of each on full sets
+    # families of nodes whose large buckets overlap: on full sets
     heavy = written(still_mixed().where(F.col("c") > SMALL).select("node", "comp", "hub").distinct(), "heavy")
     if not heavy.isEmpty():
         family = connected_components(heavy.select(F.col("node").alias("a"), F.col("hub").alias("b"))).select("node", F.col("component").alias("key"))
-        full = written(family.join(heavy.select("node", "comp").distinct(), "node").join(signature, "node"), "family")
-        blocks = full.groupBy("key").agg(F.ceil(F.sum("n") * 8 / FAMILY_BYTES).cast("int").alias("blocks"))
-        rows = dealt(full.join(blocks, "key"), F.col("blocks"), "sig")
-        rows = rows.join(sets_of(full.select("node")), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-        links = links.union(written(rows.mapInArrow(_links(similar), "a long, b long"), "links"))
+        family = written(family.join(heavy.select("node", "comp").distinct(), "node"), "family")
+        full = family.join(sets_of(family.select("node")), "node").select("key", "node", "comp", F.size("set").alias("n"), "set")
+        links = links.union(family_links(written(full, "full"), similar))
         labels = connected_components(links)
     release(spark, members)
 

@@ -1,7 +1,7 @@
 import random
 import re
 
-from emberlog.llm import minhash
+from emberlog.llm import families, minhash
 
 
 def brute(rows, words, similar=80):
@@ -51,7 +51,9 @@ def test_like_brute_force(spark):
 
 def test_blocks_and_rounds(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", 2)
-    monkeypatch.setattr(minhash, "FAMILY_BYTES", 4000)
+    monkeypatch.setattr(families, "ROWS", 5)
+    monkeypatch.setattr(families, "DIRECT", 8)
+    monkeypatch.setattr(families, "FEW", 2)
     check(spark, corpus(2, 3, 25), 5)
 
 
@@ -75,3 +77,11 @@ def test_other_texts_under_one_id(spark):
     for k in range(1, 30):
         assert {(c, kept) for i, c, kept in got if i == 100 + k} == {(want[k], k % 2 == 1)}
     assert minhash.representatives(df).count() == 30
+
+
+def test_many_posts_that_differ_in_one_word(spark):
+    """None is linked with another, though all meet in a bucket: work and memory follow the rows, not their pairs."""
+    made = "concat('the quick brown fox x', id, ' jumps over the lazy dog and then sleeps')"
+    docs = spark.range(12_000).selectExpr("id as doc_id", f"{made} as text").unionByName(spark.createDataFrame([(20_000, "the quick brown fox x7 jumps over the lazy dog and then")], "doc_id long, text string"))
+    got = minhash.near_duplicates(docs, words=2)
+    assert got.where("not kept").collect() == [(20_000, 11, 7, False)] and got.count() == 12_001
