@@ -1,6 +1,6 @@
 import duckdb
 
-from emberlog.llm import lines
+from emberlog.llm import common, lines
 from emberlog.llm.queries import op8_line_dedup
 
 
@@ -26,3 +26,19 @@ def test_cases(spark):
     assert got[30][0].text is None and got[31][0].text == "" and got[32][0].text == "" and got[None][0].text == "x"
     assert all(got[40 + k][0].text == "rare" for k in range(10)) and got[60][0].text == got[69][0].text == "null site"
     assert lines.spread_lines(df.limit(0)).count() == 0
+
+
+def test_clashing_columns_and_hot_lines(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 4)  # lines that a quarter of the rows hold are met by broadcast
+    rows = [(k, f"shared\n own {k}", f"s{k % 7}", k, -k, 1, 2, 3, "p") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _did long, _th long, _gone int, did int, gone int, pos string")
+    got = lines.spread_lines(df).orderBy("doc_id").collect()
+    assert [tuple(r)[:9] for r in got] == [(k, t if not k else f" own {k}", *rest) for k, t, *rest in rows]
+    assert [r.n_removed for r in got] == [0] + [1] * 19
+
+
+def test_very_long_text(spark):
+    text = "\n".join(f"line {k}" for k in range(200_000))
+    rows = [(k, text if k == 3 else f"line {k}\nline 199999", f"s{k}") for k in range(9)]
+    got = {r.doc_id: r for r in lines.spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[3].n_lines == 200_000 and got[3].n_removed == 1 and got[0].n_removed == 0 and got[8].n_removed == 1
