@@ -11,11 +11,14 @@ of the whole corpus would hold every position; here it is cut into parts that ca
    needed, and copies of a document, however many, cost a count.
 3. *Suffix sort.*  Runs that share a key with different content are fetched as bytes, one for each
    content, and their suffixes are sorted by bucket-pointer refinement (`bucket_pointers`) to depth
-   `length`: neighbours of one bucket are equal windows.  Very large keys are first dealt by the
-   content that a block of windows shares, so that no task holds one key.
-
-Windows of steps 2 and 3 are the exact answer; hashes only decide who meets (128 bits where equality
-is taken from them).
+   `length`: neighbours of one bucket are equal windows.
+4. *Hot keys.*  A key with more than `LARGE_KEY` contents (a passage in very many documents, each time
+   between other words) is dealt by the content that a block of windows shares, so that no task holds
+   one key.  Blocks that are all alike are counted; up to `LARGE_KEY` others are sorted as in step 3;
+   beyond that the windows of a block are counted by key, place and hash, and no suffix is sorted.
+
+All windows of all documents are judged at any size.  Where equality is taken from hashes (whole runs,
+blocks and the windows of step 4), keys and hashes hold 128 bits together.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import buffers, lots, mix64, opens_of, ranges, release, sliced, tidied, written
+from emberlog.llm.common import buffers, lots, mix64, opens_of, ranges, release, sliced, tidied, unskewed, unused, written
 
 LENGTH, Q = 200, 32
 #: A key with more contents than this is dealt by blocks of windows, and a block with more rows by windows.
@@ -308,24 +311,23 @@ def _sort_suffixes(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return sort
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def row_key(id_col: str, text_col: str) -> dict[str, Column]:
     """did and th name a row: equal rows are alike in all that follows, and nulls compare."""
-    return docs.withColumn("did", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).withColumn("th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return {"did": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
 
 
 def suffix_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(did, th, s, n): the n windows from byte s on of a document occur again elsewhere."""
     spark = docs.sparkSession
     _fits(length)
-    slim = _keyed(docs.select(F.col(id_col), F.col(text_col).alias("text")), id_col, "text").select("did", "th", "text")
+    key = row_key(id_col, text_col)
+    slim = docs.select(key["did"].alias("did"), key["th"].alias("th"), F.col(text_col).alias("text"))
     runs = written(slim.mapInArrow(_emit_runs(length), RUN), "runs")
     keys = runs.groupBy("key").agg(F.count("*").alias("c"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("c > 1")
-    # a table of its own, so that Spark can split the join's large partitions and drop the counts' shuffle
-    keys = written(keys.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "keys")
+    keys = written(keys.select("key", "c", (F.col("lo") != F.col("hi")).alias("mixed")), "keys")
     release(spark)
     s, n, a = F.shiftright("at", 20).cast("int"), F.shiftright("at", 10).bitwiseAND(1023).cast("int"), F.col("at").bitwiseAND(1023).cast("int")
-    joined = runs.join(keys, "key")
-    met = written(joined.select("did", "th", s.alias("s"), n.alias("n"), a.alias("a"), "key", "content", "mixed"), "met")
+    met = written(unskewed(runs, keys, ["key"]).select("did", "th", s.alias("s"), n.alias("n"), a.alias("a"), "key", "content", "mixed"), "met")
     release(spark, runs, keys)
 
     mixed = met.where("mixed")
@@ -339,18 +341,20 @@ def suffix_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     release(spark)
 
     copies = met.where("not mixed").select("did", "th", "s", "n")
-    copies_too = mixed.join(contents.where("c > 1").select("key", "content"), ["key", "content"], "left_semi").select("did", "th", "s", "n")
+    copies_too = unskewed(mixed, contents.where("c > 1").select("key", "content", "c"), ["key", "content"], "left_semi").select("did", "th", "s", "n")
     small = fetched.where("t is null").select("did", "th", "s", "n", "key", "body")
     blocks = fetched.where("t is not null")
     routes = blocks.groupBy("key").agg(F.count("*").alias("c"), F.min("w").alias("lo"), F.max("w").alias("hi")).where("c > 1")
-    blocks = blocks.join(routes, "key")
+    routes = written(routes.select("key", "c", F.col("c").alias("many"), "lo", "hi"), "routes")
+    blocks = unskewed(blocks, routes, ["key"])
     copied = blocks.where("lo = hi").select("did", "th", "s", "n")
     differ = blocks.where("lo <> hi")
-    sortable = small.unionByName(differ.where(F.col("c") <= LARGE_KEY).select("did", "th", "s", "n", "key", "body"))
+    sortable = small.unionByName(differ.where(F.col("many") <= LARGE_KEY).select("did", "th", "s", "n", "key", "body"))
     sorted_ = sortable.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_suffixes(length), MARK)
-    windows = differ.where(F.col("c") > LARGE_KEY).select("did", "th", "s", "n", "key", "t", "body").mapInArrow(_windows(length), WINDOW)
-    again = windows.groupBy("key", "t", "w").agg(F.count("*").alias("c")).where("c > 1").select("key", "t", "w")
-    big = windows.join(again, ["key", "t", "w"], "left_semi").select("did", "th", "s", "n")
+    windows = differ.where(F.col("many") > LARGE_KEY).select("did", "th", "s", "n", "key", "t", "body").mapInArrow(_windows(length), WINDOW)
+    windows = written(windows, "windows")
+    again = written(windows.groupBy("key", "t", "w").agg(F.count("*").alias("c")).where("c > 1"), "again")
+    big = unskewed(windows, again, ["key", "t", "w"], "left_semi").select("did", "th", "s", "n")
     return copies.unionByName(copies_too).unionByName(copied).unionByName(sorted_).unionByName(big)
 
 
@@ -367,17 +371,23 @@ def _spans(lists: pa.Array, row: int, length: int) -> tuple[np.ndarray, np.ndarr
     return s[opens], e[np.append(opens[1:] - 1, len(s) - 1)]
 
 
+SPANS = "repeated_spans"
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Adds _spans, the byte spans (start, length) of each text that a repeated string of `length` bytes covers.
+    """Adds SPANS, marks of the windows (s, n) of each text that start a repeated string of `length` bytes, null for none.
 
-    Texts are judged as UTF-8 bytes, a null text as empty.  Repeated rows repeat each other, so all of
-    a text of `length` bytes or more goes from both; shorter texts have no span.  An empty table gives
-    an empty table.  Other columns pass through unchanged, whatever their names.
+    `span_digest` and `without_spans` turn them into byte spans.  Texts are judged as UTF-8 bytes, a null
+    text as empty.  Repeated rows repeat each other, so all of a text of `length` bytes or more goes from
+    both; shorter texts have no mark.  An empty table gives an empty table.  Other columns pass through
+    unchanged, whatever their names; a column named SPANS is replaced.
     """
-    marks = suffix_marks(docs, id_col, text_col, length).groupBy("did", "th").agg(F.collect_list(F.struct("s", "n")).alias("_marks"))
-    marks = marks.select(F.col("did").alias("_did"), F.col("th").alias("_th"), "_marks")
-    keyed = docs.withColumn("_did", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))).withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return keyed.join(marks, ["_did", "_th"], "left").drop("_did", "_th")
+    docs = docs.drop(SPANS)
+    did, th = unused(docs, "did", "th")
+    marks = suffix_marks(docs, id_col, text_col, length).groupBy("did", "th").agg(F.collect_list(F.struct("s", "n")).alias(SPANS))
+    marks = marks.select(F.col("did").alias(did), F.col("th").alias(th), SPANS)
+    key = row_key(id_col, text_col)
+    return docs.withColumns({did: key["did"], th: key["th"]}).join(marks, [did, th], "left").select(*(f"`{c}`" for c in docs.columns), SPANS)
 
 
 def span_digest(marked: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -401,13 +411,13 @@ def span_digest(marked: DataFrame, id_col: str = "doc_id", text_col: str = "text
             n, removed, spans, sha = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    slim = marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), "_marks")
+    slim = marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), SPANS)
     return slim.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_spans(marked: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """The rows of `suffix_dedup` with the repeated spans cut out of the text, shrunk to whole characters."""
-    columns = [c for c in marked.columns if c != "_marks"]
+    columns = [c for c in marked.columns if c != SPANS]
     schema = marked.select(*columns).schema
 
     @tidied
@@ -416,7 +426,7 @@ def without_spans(marked: DataFrame, text_col: str = "text", length: int = LENGT
         for batch in sliced(batches, text_col):
             at_text = batch.schema.get_field_index(text_col)
             source = batch.column(at_text)
-            marks = batch.column(batch.schema.get_field_index("_marks"))
+            marks = batch.column(batch.schema.get_field_index(SPANS))
             out = source.to_pylist()
             for i in np.flatnonzero(np.asarray(marks.is_valid())):
                 body = out[i].encode()

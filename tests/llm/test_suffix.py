@@ -71,10 +71,13 @@ def test_large_keys_and_small_lots(spark, monkeypatch):
 
 
 def test_nulls_empty_and_extra_columns(spark):
-    df = spark.createDataFrame([(None, None, 1), (5, "z" * 300, 2)], "doc_id long, text string, key int")
+    clash = "key int, did string, th string, _did int, _th int, _marks int, s int, content int, repeated_spans int"
+    df = spark.createDataFrame([(None, None, *range(9)), (5, "z" * 300, *range(9))], f"doc_id long, text string, {clash.replace('did string', 'did int').replace('th string', 'th int')}")
     got = suffix.suffix_dedup(df)
-    assert got.columns[-1] == "_marks" and {"doc_id", "text", "key"} <= set(got.columns)
-    assert sorted(r.text or "" for r in suffix.without_spans(got).collect()) == ["", ""]
+    assert got.columns == df.columns and sorted(tuple(r)[2:10] for r in got.collect()) == [tuple(range(8))] * 2
+    cut = suffix.without_spans(got)
+    assert sorted(r.text or "" for r in cut.collect()) == ["", ""] and cut.columns == df.columns[:-1]
+    assert [r.n_removed for r in suffix.span_digest(got).orderBy("doc_id").collect()] == [0, 300]
     assert suffix.suffix_dedup(df.limit(0)).count() == 0
 
 
