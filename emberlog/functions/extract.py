@@ -11,6 +11,13 @@ from pyspark.sql import types as T
 from emberlog.plans.regexes import translate
 
 Extractor = Callable[[str], Column]
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often it is used: as the variable of a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 _NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -23,9 +30,10 @@ def from_json(message: Column) -> Extractor:
     """Top-level keys of a message that is one JSON object and nothing else; a JSON null is missing."""
 
     def extract(name: str) -> Column:
-        one = F.json_array_length(F.concat(F.lit("["), message, F.lit("]"))) == 1
-        is_object = one & F.ltrim(message).startswith("{")
-        return F.when(is_object, F.from_json(message, T.StructType([T.StructField(name, T.StringType())]))[name])
+        # as the elements of an array: a message with anything behind the object has several, or none that can be read
+        kind = T.ArrayType(T.StructType([T.StructField(name, T.StringType())]))
+        parsed = F.from_json(F.concat(F.lit("["), message, F.lit("]")), kind)
+        return F.when(F.ltrim(message).startswith("{"), bound(parsed, lambda x: F.when(F.size(x) == 1, x[0][name])))
 
     return extract
 
@@ -34,8 +42,10 @@ def from_logfmt(message: Column) -> Extractor:
     """The first key=value or key="a value" behind white space or the start; quotes around the value go."""
 
     def extract(name: str) -> Column:
-        pattern = f'(?:^|\\s){name}=("[^"\\s]*\\s[^"]*"|\\S*)'
-        return F.when(message.rlike(pattern), F.btrim(F.regexp_extract(message, pattern, 1), F.lit('"')))
+        # null if nothing matches, in one pass; a match has its key at least
+        pair = F.regexp_substr(message, F.lit(f'(?:^|\\s){name}=("[^"\\s]*\\s[^"]*"|\\S*)'))
+        value = bound(pair, lambda x: F.btrim(F.substring(x, F.instr(x, "=") + 1, F.length(x)), F.lit('"')))
+        return F.when(F.contains(message, F.lit(f"{name}=")), value)
 
     return extract
 
@@ -61,11 +71,18 @@ def number_compared(text: Column, op: str, number: str) -> Column:
     Numbers outside 20 digits before and 18 behind the point compare as doubles.
     """
     decimal = T.DecimalType(38, 18)
-    value = F.when(text.rlike(_NUMBER), F.trim(text))
-    exact, wanted = value.try_cast(decimal), F.lit(number).try_cast(decimal)
-    rough = compared(value.try_cast("double"), op, F.lit(number).try_cast("double"))
-    tiny = (exact == 0) & (value.try_cast("double") != 0)
-    return F.when(exact.isNull() | wanted.isNull() | tiny, rough).otherwise(compared(exact, op, wanted))
+    wanted = F.lit(number).try_cast(decimal)
+
+    def judged(value: Column) -> Column:
+        rough = compared(value.double, op, F.lit(number).try_cast("double"))
+        tiny = (value.exact == 0) & (value.double != 0)
+        return F.when(value.exact.isNull() | wanted.isNull() | tiny, rough).otherwise(compared(value.exact, op, wanted))
+
+    def read(value: Column) -> Column:
+        trimmed = F.when(value.rlike(_NUMBER), F.trim(value))
+        return bound(F.struct(trimmed.try_cast(decimal).alias("exact"), trimmed.try_cast("double").alias("double")), judged)
+
+    return bound(text, read)
 
 
 def hex_id(value: Column) -> Column:
