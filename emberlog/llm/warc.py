@@ -22,9 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import fresh_path, lots, sliced, tidied, written
+from emberlog.llm.common import fresh_path, lots, release, sliced, tidied, unskewed, written
 
 SEGMENT, CHUNK, SMALL = 64 << 10, 8 << 10, 100
+#: Stands for a page without an id, which comes last.
+_NO_PAGE = 2**63 - 1
 #: Bytes after which a task begins another archive.
 ARCHIVE = 256 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -62,12 +64,12 @@ def record(kind: str, name: str, body: bytes, fields: dict[str, str]) -> bytes:
     return packer.compress(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + body + b"\r\n\r\n") + packer.flush()
 
 
-def page_records(name: str, url: str | None, payload: bytes, digest: str, refers: str | None, segment: int = SEGMENT) -> list[bytes]:
-    """The records of one page: a revisit, or a response with its continuations."""
+def page_records(name: str, url: str | None, payload: bytes, size: int, digest: str, refers: str | None, segment: int = SEGMENT) -> list[bytes]:
+    """The records of one page: a revisit, which needs the payload's size and digest only, or a response with its continuations."""
     safe = re.sub(r"[^\x21-\x7e]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "urn:none")
     about = {"WARC-Target-URI": safe, "WARC-Payload-Digest": f"sha256:{digest}"}
     if refers is not None:
-        return [record("revisit", name, b"", about | {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<{refers}>", "X-Payload-Length": str(len(payload))})]
+        return [record("revisit", name, b"", about | {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<{refers}>", "X-Payload-Length": str(size)})]
     body = HTTP + chunked(payload)
     if len(body) <= segment:
         return [record("response", name, body, about)]
@@ -113,8 +115,13 @@ def _payload(body: bytes) -> bytes:
     return unchunked(rest) if b"transfer-encoding: chunked" in head.lower() else rest
 
 
+def record_id(page: int, url: str, digest: str) -> str:
+    """The id of a page's record: `urn:page:<page>:<what tells it from others with that page>`."""
+    return f"urn:page:{'none' if page == _NO_PAGE else page}:{hashlib.sha256(url.encode() + digest.encode()).hexdigest()[:32]}"
+
+
 def _number(name: str | None) -> int | None:
-    """The page in a record id `urn:page:<page>:<row>`."""
+    """The page in a record id."""
     page = name.strip("<>").split(":")[2] if name else ""
     return int(page) if page not in ("", "none") else None
 
@@ -122,18 +129,35 @@ def _number(name: str | None) -> int | None:
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", segment: int = SEGMENT) -> DataFrame:
     """Writes all pages into archives in `folder` and returns (file, records) of each.
 
-    Of pages with equal payloads of `SMALL` bytes or more the smallest id (then the first row) is the
-    response and the others refer to it.  Archives get their name when they are whole.
+    Of pages with equal payloads of `SMALL` bytes or more the smallest id (then the smallest url) is the
+    response and the others refer to it; of equal rows, which stand for each other, any one.  Ids of
+    records follow from what the rows hold, so a lost executor changes none.  Pages meet their like by id, url
+    and digest; the payloads of revisits go no further.  Archives get their name when they are whole.
     """
-    body = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), body.alias("html"), F.sha2(body, 256).alias("digest"), F.monotonically_increasing_id().alias("row"))
-    order = F.struct(F.coalesce("page", F.lit(2**63 - 1)).alias("p"), "row")
-    slim = rows.where(F.octet_length("html") >= SMALL)
-    origin = slim.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("c")).where("c > 1").select("digest", "first")
-    joined = rows.join(origin, "digest", "left")
-    # a response has none; ids that are null print as none
-    refers = F.when(F.col("first").isNotNull() & (F.col("first.row") != F.col("row")) & (F.octet_length("html") >= SMALL), F.col("first"))
-    joined = joined.select("page", "row", "url", "html", "digest", refers["p"].alias("rp"), refers["row"].alias("rr"))
+    spark = pages.sparkSession
+    page, url = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_PAGE)), F.coalesce(F.col(url_col).cast("string"), F.lit(""))
+    body = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    rows = pages.select(page.alias("page"), url.alias("url"), body.alias("html"), F.sha2(body, 256).alias("digest"))
+    same = ["page", "url", "digest"]  # rows that are equal in these can stand for each other
+    alike = rows.groupBy(*same, F.octet_length("html").cast("long").alias("size")).agg(F.count("*").alias("copies"))
+    alike = written(alike, "alike")
+    origin = alike.where(F.col("size") >= SMALL).groupBy("digest").agg(F.min(F.struct("page", "url")).alias("first"), F.count("*").alias("c"), F.sum("copies").alias("all"))
+    origin = written(origin.where("all > 1").drop("all"), "origin")
+    first = (F.col("page") == F.col("first.page")) & (F.col("url") == F.col("first.url"))
+    # rows that are not simply a response each: revisits, and the one response among equal rows
+    odd = unskewed(alike, origin, ["digest"]).withColumn("leads", first).where("not leads or copies > 1")
+    odd = written(odd.select(*same, "size", "copies", "leads", F.col("first.page").alias("rp"), F.col("first.url").alias("ru")), "odd")
+    release(spark, origin)
+
+    responses = rows.join(odd.select(*same), same, "left_anti")
+    leading = written(odd.where("leads").select(*same), "leading")  # one of several equal rows
+    if not leading.isEmpty():
+        responses = responses.unionByName(rows.join(leading, same, "left_semi").dropDuplicates(same))
+    number = F.explode(F.sequence(F.when(F.col("leads"), 1).otherwise(0), (F.col("copies") - 1).cast("int")))
+    revisits = odd.where("not leads or copies > 1").select("page", "url", "digest", "size", number.alias("copy"), "rp", "ru")
+    none = F.lit(None)
+    every = responses.select("page", "url", "html", "digest", F.octet_length("html").cast("long").alias("size"), none.cast("int").alias("copy"), none.cast("long").alias("rp"), none.cast("string").alias("ru"))
+    every = every.unionByName(revisits.withColumn("html", none.cast("string")))
 
     @tidied
 
@@ -148,14 +172,18 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", html_
             fs.move(part, f"{path}/{name}")
             return pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([count], pa.int64())})
 
+        serial = 0
         for batch in sliced(batches, "html"):
-            for page, row, url, html, digest, rp, rr in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            for page, url, html, digest, size_of, copy, rp, ru in zip(*(batch.column(k).to_pylist() for k in ("page", "url", "html", "digest", "size", "copy", "rp", "ru")), strict=True):
                 if out is None:
                     part = f"{path}/_pages-{pid:06d}-{number:04d}.{uuid.uuid4().hex}"
                     out, size, count = fs.open_output_stream(part), 0, 0
-                name = f"urn:page:{'none' if page is None else page}:{row}"
-                refer = None if rr is None else f"urn:page:{'none' if rp == 2**63 - 1 else rp}:{rr}"
-                for member in page_records(name, url, html.encode(), digest, refer, segment):
+                name, refer = record_id(page, url, digest), None
+                if rp is not None:
+                    name, refer = f"{name}:copy-{copy}", record_id(rp, ru, digest)
+                elif size_of < SMALL:  # equal small pages are all responses; no other record refers to them
+                    name, serial = f"{name}:{pid}-{serial}", serial + 1
+                for member in page_records(name, url, (html or "").encode(), size_of, digest, refer, segment):
                     out.write(member)
                     size, count = size + len(member), count + 1
                 if size >= ARCHIVE:
@@ -164,7 +192,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", html_
         if out is not None:
             yield close()
 
-    return joined.mapInArrow(write, "file string, records long")
+    return every.mapInArrow(write, "file string, records long")
 
 
 RECORD = "record string, page long, type string, refers long, digest string, length long, total long, number int, body binary"

@@ -17,7 +17,7 @@ def test_framing():
 
 
 def test_records_stream():
-    members = warc.page_records("urn:page:1:0", "http://x/ü", b"payload" * 3000, "d", None, 500) + warc.page_records("urn:page:2:1", None, b"", "e", None)
+    members = warc.page_records("urn:page:1:0", "http://x/ü", b"payload" * 3000, 21000, "d", None, 500) + warc.page_records("urn:page:2:1", None, b"", 0, "e", None)
     data = b"".join(members)
     assert gzip.decompress(data).count(b"WARC/1.1\r\n") == len(members)
     got = list(warc.records(io.BytesIO(data)))
@@ -57,3 +57,15 @@ def test_missing_segment(spark):
     rows = [("a", 1, "response", None, "d", None, None, 1, b"xx"), ("a", 1, "continuation", None, "", None, 9, 3, b"yy")]
     with pytest.raises(Exception, match="add up"):
         warc.assembled(spark.createDataFrame(rows, schema)).collect()
+
+
+def test_equal_rows_nulls_and_clashing_columns(spark):
+    """Of equal rows one is the response; extra columns with names of our own don't matter."""
+    body = "z" * 150
+    rows = [(3, "u", body)] * 4 + [(None, "u", body)] * 2 + [(None, None, None)] * 2 + [(5, "u", "small")] * 3 + [(3, "t", body), (9, "w", "w" * 400_000)]
+    clash = "page_id long, url string, html string, page string, digest string, copy int, leads boolean, size int"
+    df = spark.createDataFrame([(*x, "p", "d", 7, True, 1) for x in rows], clash).repartition(3)
+    got = sorted((tuple(x)[:5] for x in warc.round_trip(df).collect()), key=str)
+    assert sorted((x[0], x[3], x[4]) for x in got if x[1] == 150 and x[0]) == [(3, "response", None)] + [(3, "revisit", 3)] * 4
+    assert [(x[3], x[4]) for x in got if x[1] == 150 and x[0] is None] == [("revisit", 3)] * 2
+    assert sorted((x[0] or 0, x[1], x[3]) for x in got if x[1] != 150) == [(0, 0, "response")] * 2 + [(5, 5, "response")] * 3 + [(9, 400_000, "response")]
