@@ -99,3 +99,20 @@ def test_duplicates(spark):
                 parent[max(p, q)] = min(p, q)
     got = spots.spot_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.doc_id: (x.n_items, x.component_id) for x in got} == {i: (len(s), root(i)) for i, s in sets}
+
+
+def test_components_of_the_query(spark, monkeypatch):
+    """component_id is that of `spot_duplicates`, for many partitions, equal ids and clashing columns too."""
+    r = random.Random(9)
+    words = ["the", "of", "and"] + [f"w{k}" for k in range(300)]
+    base = [" ".join(r.choice(words[:3]) if r.random() < 0.4 else r.choice(words) for _ in range(80)) for _ in range(6)]
+    rows = [(k, base[k % 6] + (" end" if k > 20 else ""), k, "x") for k in range(40)] + [(7, base[2], 1, "x"), (None, base[3], 1, "x"), (None, "", 1, "x"), (50, None, 1, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind int, print string").repartition(7)
+    got = sorted(map(str, ((x.doc_id, x.n_signatures, x.component_id) for x in spots.edited_prints(df).collect())))
+    assert got == sorted(map(str, ((x.doc_id, x.n_items, x.component_id) for x in spots.spot_duplicates(df).collect())))
+
+
+def test_very_long_text(spark):
+    rows = [(1, "the red house of the old king " * 20_000), (2, "a small boat"), (3, "the red house of the old king " * 20_000)]
+    got = {x.doc_id: x for x in spots.edited_prints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].component_id == got[3].component_id == 1 and got[3].n_chars == 600_000 and got[1].near_next == 1.0
