@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import language, lines, minhash, packing, suffix
-from emberlog.llm.common import fresh_path, table, written
-from emberlog.llm.queries import _tokenizer
+from emberlog.llm.common import delete, fresh_path, swept, table, written
+from emberlog.llm.queries import tokenizer
 from emberlog.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -75,7 +75,7 @@ def dedup_suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 @_shipped
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens: the pieces of all documents with the checksum of their ids."""
-    return packing.piece_digest(packing.pack(docs, _tokenizer("word_bpe_49k.json")))
+    return packing.piece_digest(packing.pack(docs, tokenizer("word_bpe_49k.json")))
 
 
 STAGES = [
@@ -92,9 +92,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage.  A stage's tables go when it is written, its output when the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = fresh_path(spark, f"stage{k}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with swept(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs

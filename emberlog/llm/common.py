@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Folders made since the last `swept` began.
+#: Folders made so far; `swept` takes out those that it deletes.
 _made: list[str] = []
 
 
@@ -53,13 +53,13 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 @contextlib.contextmanager
-def swept(spark: SparkSession, *keep: str) -> Iterator[None]:
-    """Deletes the folders that were made inside, but for those to keep, once what is inside has been written."""
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Deletes the folders that were made inside, when what was made of them is written."""
     before = len(_made)
     yield
-    for path in [x for x in _made[before:] if x not in keep]:
+    for path in _made[before:]:
         delete(spark, path)
-    _made[before:] = [x for x in _made[before:] if x in keep]
+    del _made[before:]
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -51,7 +51,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.span_digest(suffix.suffix_dedup(docs))
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     """Place of a public vocabulary file; the same on all machines of the cluster."""
     import public_tokenizers
 
@@ -59,7 +59,7 @@ def _tokenizer(name: str) -> str:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=49407)
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=49407)
 
 
 def op3_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,11 +67,11 @@ def op3_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.piece_digest(packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")))
+    return packing.piece_digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.piece_codes(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return pieces.piece_codes(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
