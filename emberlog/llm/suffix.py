@@ -334,8 +334,9 @@ def suffix_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     contents = written(
         mixed.groupBy("key", "content").agg(F.count("*").alias("c"), F.min(F.struct("did", "th", "s", "n", "a")).alias("one")), "contents"
     )
-    large = contents.groupBy("key").agg(F.count("*").alias("d")).where(F.col("d") > LARGE_KEY).select("key", F.lit(True).alias("large"))
-    asked = contents.join(large, "key", "left").select("one.*", "key", F.coalesce("large", F.lit(False)).alias("large"))
+    counts = contents.groupBy("key").agg(F.count("*").alias("c"))
+    counts = written(counts.withColumn("large", F.col("c") > LARGE_KEY), "counts")
+    asked = unskewed(contents.select("one.*", "key"), counts, ["key"])
     lists = asked.groupBy("did", "th").agg(F.collect_list(F.struct("s", "n", "a", "key", "large")).alias("runs"))
     fetched = written(slim.join(lists, ["did", "th"]).select("did", "th", "text", "runs").mapInArrow(_fetch(length), FETCHED), "fetched")
     release(spark)
