@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from emberlog.functions.validation import FIELD_NAME, FIELD_VALUE, FIELDS
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 class _Raw(float):
     """A number that remembers its text."""
 
@@ -57,6 +60,11 @@ def json_pairs(line: str) -> list[tuple[str, str]]:
     return [(k, v if isinstance(v, str) else _compact(v)) for k, v in value]
 
 
+def valid(text: str) -> str:
+    """The text with U+FFFD for halves of surrogate pairs, which an escape can spell but UTF-8 can't."""
+    return _LONE.sub("\N{REPLACEMENT CHARACTER}", text)
+
+
 def cut(text: str, most: int = FIELD_VALUE) -> str:
     """At most so many bytes of UTF-8, whole characters only."""
     raw = text.encode()
@@ -71,7 +79,7 @@ def fields(line: str | None, use_json: bool = True, pattern: re.Pattern | None =
         found += [(k, v) for k, v in m.groupdict().items() if v is not None]
     if line is not None and use_json:
         found += json_pairs(line)
-    for name, value in found:
+    for name, value in ((valid(n), valid(v)) for n, v in found):
         if name and len(name.encode()) <= FIELD_NAME and (name in out or len(out) < FIELDS):
             out[name] = cut(value)
     return out or None

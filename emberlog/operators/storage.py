@@ -6,30 +6,39 @@ files and the duplicates of a batch can only be in the partitions that the batch
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from emberlog.operators import files
 from emberlog.plans.compiler import COLUMNS, moment, naive
 
 KEY = ["stream_id", "seq", "time"]
 RETENTION_DAYS, COMPACT_HOURS = 30, 2
+#: Bytes of a compacted file.
+FILE_BYTES = 128 << 20
+#: How far the stored last_seen of a stream may lie behind.
+REFRESH = timedelta(minutes=1)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
+def first_of_each(batch: DataFrame, arrival: Column | None = None) -> DataFrame:
+    """The row of each key that came first: the one with the smallest `arrival`.
 
-def first_of_each(batch: DataFrame) -> DataFrame:
-    """One row of each key; which one, if a batch holds several with different content, is left open."""
-    return batch.dropDuplicates(KEY)
+    Without an order, or where it is equal, the content decides: the smallest in an order of hashes, so that another attempt
+    takes the same row.
+    """
+    rest = [c for c in batch.columns if c not in KEY]
+    texts = [F.to_json(F.array_sort(F.map_entries(c))) if isinstance(batch.schema[c].dataType, T.MapType) else F.col(c).cast("string") for c in rest]
+    order = F.struct(F.lit(0) if arrival is None else arrival, F.xxhash64(*texts) if texts else F.lit(0))
+    return batch.groupBy(*KEY).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(*(F.col(c) if c in KEY else F.col("_row")[c].alias(c) for c in batch.columns))
 
 
-def new_rows(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
+def new_rows(batch: DataFrame, stored: DataFrame | None, arrival: Column | None = None) -> DataFrame:
     """The rows of a batch whose key is neither stored nor repeated."""
-    batch = first_of_each(batch)
+    batch = first_of_each(batch, arrival)
     if stored is None:
         return batch
     if "event_date" in stored.columns:
@@ -68,6 +77,19 @@ def streams_of(rows: DataFrame) -> DataFrame:
     return out.select("stream_id", "service", "host", "env", F.map_from_entries("pairs").alias("labels"), "first_seen", "last_seen")
 
 
+def fresh_streams(seen: DataFrame, stored: DataFrame | None, refresh: timedelta = REFRESH) -> DataFrame:
+    """What a batch says of its streams that is worth storing: new ones, an earlier first_seen, a last_seen later by `refresh`.
+
+    `stored` is `upserted` of all that was stored before.
+    """
+    if stored is None:
+        return seen
+    before = stored.select("stream_id", F.col("first_seen").alias("_first"), F.col("last_seen").alias("_last"))
+    step = F.make_dt_interval(secs=F.lit(refresh.total_seconds()))
+    new = F.col("_first").isNull() | (F.col("first_seen") < F.col("_first")) | (F.col("last_seen") >= F.col("_last") + step)
+    return seen.join(before, "stream_id", "left").where(new).select(*seen.columns)
+
+
 def retained(logs: DataFrame, now: datetime, days: int = RETENTION_DAYS) -> DataFrame:
     """Records no older than the retention; rollups are never cut."""
     return logs.where(F.col("time") >= moment(naive(now) - timedelta(days=days), logs.schema["time"].dataType))
@@ -76,48 +98,49 @@ def retained(logs: DataFrame, now: datetime, days: int = RETENTION_DAYS) -> Data
 def drop_old_partitions(spark: SparkSession, path: str, now: datetime, days: int = RETENTION_DAYS) -> list[str]:
     """Deletes the date partitions that lie wholly before the retention; returns their dates."""
     edge = (naive(now) - timedelta(days=days)).date().isoformat()
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    gone = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("event_date=") and name[11:] < edge:
-            fs.delete(status.getPath(), True)
-            gone.append(name[11:])
-    return sorted(gone)
+    gone = [name for name in files.folders(spark, path) if name.startswith("event_date=") and name[11:] < edge]
+    for name in gone:
+        files.delete(spark, f"{path}/{name}")
+    return [name[11:] for name in gone]
 
 
-def compacted(logs: DataFrame) -> DataFrame:
-    """Rows segmented by stream, newest first: the layout that compresses and prunes best."""
-    return dated(logs).repartition("event_date", "stream_id").sortWithinPartitions("event_date", "stream_id", F.desc("time"), "seq")
+def compacted(logs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows segmented by stream, newest first: the layout that compresses and prunes best.
+
+    Rows are dealt by ranges, so a stream that holds most of a day has several partitions.
+    """
+    order = ["event_date", "stream_id", F.desc("time"), "seq"]
+    dealt = dated(logs)
+    dealt = dealt.repartitionByRange(*order) if partitions is None else dealt.repartitionByRange(partitions, *order)
+    return dealt.sortWithinPartitions(*order)
 
 
-def compact(spark: SparkSession, path: str, now: datetime, hours: int = COMPACT_HOURS) -> list[str]:
+def compact(spark: SparkSession, path: str, now: datetime, hours: int = COMPACT_HOURS, make: Callable[[DataFrame, int], DataFrame] = compacted, stop: Callable[[str], None] = lambda _: None) -> list[str]:
     """Rewrites the date partitions that ended `hours` ago or more and have several files; returns their dates.
 
-    A day is written beside the table and takes its place when it is whole.
+    What an attempt before left unfinished is finished first; see `files.replaced`.
     """
     edge = (naive(now) - timedelta(hours=hours)).date().isoformat()
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.recover(spark, path)
     done = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
+    for name in files.folders(spark, path):
         if not name.startswith("event_date=") or name[11:] >= edge:
             continue
-        files = [f for f in fs.listStatus(status.getPath()) if f.getPath().getName().startswith("part-")]
-        if len(files) < 2:
+        held = files.parts(spark, f"{path}/{name}")
+        if len(held) < 2:
             continue
-        new = jvm.org.apache.hadoop.fs.Path(f"{path}/_{name}")
-        fs.delete(new, True)
-        day = spark.read.parquet(f"{path}/{name}")
-        compacted(day).drop("event_date").coalesce(max(1, len(files) // 8)).write.option("compression", "zstd").parquet(new.toString())
-        fs.delete(status.getPath(), True)
-        fs.rename(new, status.getPath())
+        count = -(-sum(held.values()) // FILE_BYTES)
+        if len(held) <= count:
+            continue
+        files.replaced(spark, path, name, lambda day, n=count: make(day, n).drop("event_date"), stop)
         done.append(name[11:])
-    return sorted(done)
+    return done
+
+
+def summed(rates: DataFrame, partitions: int) -> DataFrame:
+    """One row for each bucket, stream and level, for the compaction of rollups."""
+    total = rates.groupBy("bucket", "stream_id", "level").agg(F.sum("n").alias("n")).where("n <> 0")
+    return total.repartitionByRange(partitions, "bucket", "stream_id").sortWithinPartitions("bucket", "stream_id")
 
 
 def size_of(spark: SparkSession, path: str) -> int:
@@ -127,8 +150,11 @@ def size_of(spark: SparkSession, path: str) -> int:
 
 def statistics(spark: SparkSession, path: str) -> dict[str, float]:
     """Bytes of the records as text and numbers, bytes of the files, and their ratio (0 for no files)."""
-    rows = spark.read.parquet(path)
-    width = 8 + 8 + 8 + 2 + F.octet_length("message") + F.coalesce(F.octet_length(F.to_json("fields")), F.lit(0))
-    raw = rows.agg(F.sum(width)).first()[0] or 0
+    raw = spark.read.parquet(path).agg(F.sum(raw_bytes())).first()[0] or 0
     stored = size_of(spark, path)
     return {"raw_bytes": float(raw), "stored_bytes": float(stored), "ratio": raw / stored if stored and raw else 0.0}
+
+
+def raw_bytes() -> Column:
+    """Bytes of a record: numbers and times of eight bytes, a level of two, and texts."""
+    return 8 + 8 + 8 + 2 + F.octet_length("message") + F.coalesce(F.octet_length(F.to_json("fields")), F.lit(0))

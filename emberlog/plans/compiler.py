@@ -196,7 +196,7 @@ def compile_query(query: Query | str, request: Request, catalog: Catalog) -> Pla
     start, end = widened(request.start, request.end, agg.seconds) if agg else tuple(t and naive(t) for t in (request.start, request.end))
     time = "time" if source == "logs" else "bucket"
     table = catalog.logs if source == "logs" else catalog.rollups[source]
-    rows = in_range(table, start, end, time, catalog.partition if source == "logs" else None)
+    rows = in_range(table, start, end, time, catalog.partition if catalog.partition in table.columns else None)
 
     predicates, extract, promoted = record_predicates(query)
     promoted |= bool(agg) and any(x in PROMOTED for x in agg.by)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from emberlog.functions.fingerprint import with_stream_ids
 from emberlog.functions.validation import label_reason, record_reason
-from emberlog.operators import rollup, storage
-from emberlog.plans.compiler import COLUMNS, Catalog, bucket
+from emberlog.operators import files, report, rollup, storage
+from emberlog.plans.compiler import COLUMNS, Catalog, bucket, floored, in_range
 
-#: A record's time may trail the newest by the backfill and lead it by the clock skew.
-LATE = "7 days 15 minutes"
 EXTRA = ["service", "host", "env", "labels"]
 
 
@@ -37,6 +37,16 @@ class Store:
     def rejected(self) -> str:
         return f"{self.root}/rejected"
 
+    @property
+    def open(self) -> str:
+        """The note of the minutes whose logs may be ahead of their rollups."""
+        return f"{self.root}/_open.json"
+
+    @property
+    def minutes(self) -> str:
+        """The counts of the batch at hand."""
+        return f"{self.root}/_minutes"
+
     def rates(self, name: str) -> str:
         return f"{self.root}/{name}"
 
@@ -47,82 +57,107 @@ def judged(rows: DataFrame, now: Column) -> DataFrame:
     return rows.withColumn("reason", F.coalesce(labels, record_reason(now)))
 
 
-def _replace(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Overwrites a small table that `df` reads: written beside it, then renamed."""
-    jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(new, True)
-    df.write.parquet(path + ".new")
-    fs.delete(old, True)
-    fs.rename(new, old)
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    return spark.read.parquet(path) if files.exists(spark, path) else None
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if storage.exists(spark, path) else None
+def streams_at(spark: SparkSession, store: Store) -> DataFrame | None:
+    """The dimension: batches only add to it, so the rows of a stream are merged as they are read."""
+    stored = _stored(spark, store.streams)
+    return None if stored is None else storage.upserted(None, stored)
 
 
-def write_batch(rows: DataFrame, store: Store, now: Column | datetime | None = None) -> dict[str, int]:
+def write_batch(rows: DataFrame, store: Store, now: Column | datetime | None = None, stop: Callable[[str], None] = lambda _: None) -> dict[str, object]:
     """One batch of records with labels: refused rows go to `rejected`, new ones to `logs`.
 
-    Writing a batch again adds nothing: keys that are stored are dropped, and the rollups of the minutes
-    a batch touches are counted anew from the logs.  Returns received, rejected, deduped and written rows.
+    Writing a batch again adds nothing: keys that are stored are dropped, and the rollups get the counts
+    of the rows that are new.  All tables are only added to; rollups and streams are summed up as they are
+    read.  Between the logs and their rollups a note tells which minutes are open; the batch that finds
+    one counts these minutes anew first, so a stop at any point loses and doubles nothing.  A store has one
+    writer.  Returns received, rejected, deduped and written rows, and `reasons`: rejected rows by reason.
     """
     spark = rows.sparkSession
+    repaired(spark, store)
     moment = F.current_timestamp() if now is None else now if isinstance(now, Column) else F.lit(now).cast("timestamp")
-    rows = judged(rows.withColumn("time", F.date_trunc("microsecond", "time")), moment).persist()
-    received = rows.count()
-    bad = rows.where(F.col("reason").isNotNull())
-    refused = bad.count()
-    if refused:
-        bad.write.mode("append").parquet(store.rejected)
-    good = with_stream_ids(rows.where(F.col("reason").isNull()).drop("reason")).withColumn("fields", F.when(F.size("fields") > 0, F.col("fields")))
-    good = good.persist()
+    rows = rows.withColumns({"time": F.date_trunc("microsecond", "time"), "arrival": F.monotonically_increasing_id()})
+    rows = judged(rows, moment).persist()
     try:
-        if received == refused:
-            return {"received": received, "rejected": refused, "deduped": 0, "written": 0}
-        # streams first, so no record is without its stream
-        streams = _stored(spark, store.streams)
-        _replace(spark, storage.upserted(streams, storage.streams_of(good)), store.streams)
-        fresh = storage.new_rows(good.select(*COLUMNS), _stored(spark, store.logs)).persist()
-        written = fresh.count()
-        if written:
-            storage.append_logs(fresh, store.logs)
-        touched = good.select(bucket(F.col("time"), 60).alias("bucket")).distinct().persist()
-        days = storage.exists(spark, store.logs) and spark.read.parquet(store.logs).join(touched.select(F.to_date("bucket").alias("event_date")).distinct(), "event_date", "left_semi")
-        _refresh(spark, store, days.drop("event_date"), touched)
-        fresh.unpersist()
-        touched.unpersist()
-        return {"received": received, "rejected": refused, "deduped": received - refused - written, "written": written}
+        counts = {r["reason"]: r["n"] for r in report.outcome_counts(rows).collect()}  # a row for each reason there is
+        written = 0
+        received, accepted = sum(counts.values()), counts.pop("accepted", 0)
+        if accepted < received:
+            rows.where(F.col("reason").isNotNull()).drop("arrival").write.mode("append").parquet(store.rejected)
+        if accepted:
+            written = _accept(rows.where(F.col("reason").isNull()).drop("reason"), store, stop)
+        return {"received": received, "rejected": received - accepted, "deduped": accepted - written, "written": written, "reasons": counts}
     finally:
-        good.unpersist()
         rows.unpersist()
 
 
-def _refresh(spark: SparkSession, store: Store, logs: DataFrame, touched: DataFrame) -> None:
-    """The minutes a batch touched, then the hours of these minutes; both tables are partitioned by day and only the days touched are rewritten."""
-    path = store.rates("logs_rate_1m")
-    counted = rollup.per_minute(logs.withColumn("_b", bucket(F.col("time"), 60)).join(touched.withColumnRenamed("bucket", "_b"), "_b", "left_semi").drop("_b"))
-    before = _stored(spark, path)
-    minutes = _days_replaced(spark, path, before, counted, touched)
-    hours = touched.select(bucket(F.col("bucket"), 3600).alias("bucket")).distinct()
-    inside = minutes.withColumn("_h", bucket(F.col("bucket"), 3600)).join(hours.withColumnRenamed("bucket", "_h"), "_h", "left_semi").drop("_h")
-    path = store.rates("logs_rate_1h")
-    _days_replaced(spark, path, _stored(spark, path), rollup.per_hour(inside), hours)
-
-
-def _days_replaced(spark: SparkSession, path: str, before: DataFrame | None, counted: DataFrame, touched: DataFrame) -> DataFrame:
-    """Writes the days of `touched`: their untouched buckets as they were, the touched ones as counted."""
-    out = counted.select("bucket", "stream_id", "level", "n")
-    if before is not None:
-        days = touched.select(F.to_date("bucket").alias("event_date")).distinct()
-        kept = before.join(days, "event_date", "left_semi").join(touched, "bucket", "left_anti")
-        out = out.unionByName(kept.select("bucket", "stream_id", "level", "n"))
-    out = out.withColumn("event_date", F.to_date("bucket"))
-    new = path + ".days"
-    out.write.mode("overwrite").parquet(new)
-    spark.read.parquet(new).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
-    return spark.read.parquet(path)
+def _accept(rows: DataFrame, store: Store, stop: Callable[[str], None]) -> int:
+    spark = rows.sparkSession
+    good = with_stream_ids(rows).withColumn("fields", F.when(F.size("fields") > 0, F.col("fields")))
+    # streams first, so no record is without its stream
+    streams = storage.fresh_streams(storage.streams_of(good), streams_at(spark, store)).persist()
+    if not streams.isEmpty():
+        streams.write.mode("append").parquet(store.streams)
+    streams.unpersist()
+    stop("streams")
+    fresh = storage.new_rows(good.select(*COLUMNS, "arrival"), _stored(spark, store.logs), F.col("arrival")).drop("arrival").persist()
+    try:
+        # kept beside the tables: a write to the logs makes Spark compute what is cached of them anew
+        rollup.per_minute(fresh).write.mode("overwrite").parquet(store.minutes)
+        minutes = spark.read.parquet(store.minutes)
+        n, low, high = minutes.agg(F.sum("n"), F.unix_seconds(F.min("bucket")), F.unix_seconds(F.max("bucket"))).first()
+        if n:
+            files.put_text(spark, store.open, json.dumps([low, high]))
+            stop("noted")
+            storage.append_logs(fresh, store.logs)
+            stop("logs")
+            _add(minutes, store.rates("logs_rate_1m"))
+            stop("minutes")
+            _add(rollup.per_hour(minutes), store.rates("logs_rate_1h"))
+            files.delete(spark, store.open)
+        return n or 0
+    finally:
+        fresh.unpersist()
+
+
+def _add(counted: DataFrame, path: str) -> None:
+    out = counted.select("bucket", "stream_id", "level", "n", F.to_date("bucket").alias("event_date"))
+    out.write.mode("append").partitionBy("event_date").parquet(path)
+
+
+def repaired(spark: SparkSession, store: Store) -> None:
+    """Finishes what a stop left open: the rollups of the noted minutes get what they lack (or have too much) against the logs."""
+    note = files.get_text(spark, store.open)
+    if note is None:
+        return
+    low, high = json.loads(note)
+    if files.exists(spark, store.logs):
+        for name, width in (("logs_rate_1m", 60), ("logs_rate_1h", 3600)):
+            first, last = (floored(datetime.fromtimestamp(t, UTC), width) for t in (low, high))
+            last += timedelta(seconds=width)
+            logs = in_range(spark.read.parquet(store.logs), first, last, "time", "event_date")
+            due = rollup.per_minute(logs) if width == 60 else rollup.per_hour(rollup.per_minute(logs))
+            have = _stored(spark, store.rates(name))
+            if have is not None:
+                had = in_range(have, first, last, "bucket", "event_date").select("bucket", "stream_id", "level", (-F.col("n")).alias("n"))
+                due = due.select("bucket", "stream_id", "level", "n").unionByName(had).groupBy("bucket", "stream_id", "level").agg(F.sum("n").alias("n")).where("n <> 0")
+            _add(due, store.rates(name))
+    files.delete(spark, store.open)
+
+
+def compact(spark: SparkSession, store: Store, now: datetime, hours: int = storage.COMPACT_HOURS) -> dict[str, list[str]]:
+    """Compacts the logs and the rollups of days that are over, and the streams; returns the days by table."""
+    repaired(spark, store)
+    done = {"logs": storage.compact(spark, store.logs, now, hours)}
+    for name in ("logs_rate_1m", "logs_rate_1h"):
+        done[name] = storage.compact(spark, store.rates(name), now, hours, storage.summed)
+    files.recover(spark, store.streams)
+    if len(files.parts(spark, store.streams)) > 1:
+        files.replaced(spark, store.streams, "", lambda rows: storage.upserted(None, rows))
+    return done
 
 
 def start(rows: DataFrame, store: Store, checkpoint: str, now: datetime | None = None, once: bool = False) -> StreamingQuery:
@@ -148,4 +183,4 @@ def keyed(rows: DataFrame) -> DataFrame:
 def catalog(spark: SparkSession, store: Store) -> Catalog:
     """The stored tables, ready to query."""
     rates = {n: spark.read.parquet(store.rates(n)) for n in ("logs_rate_1m", "logs_rate_1h")}
-    return Catalog(spark.read.parquet(store.streams), spark.read.parquet(store.logs), rates, "event_date")
+    return Catalog(streams_at(spark, store), spark.read.parquet(store.logs), rates, "event_date")

@@ -15,6 +15,7 @@ from emberlog.sources import lines, synthetic
 from emberlog.streaming import ingest, multiline, rates, tail
 
 NOW = datetime(2026, 9, 1, 12)
+REASONS = dict.fromkeys(("missing label service", "invalid level", "time in the future", "field value too long"), 1)
 SCHEMA = "time timestamp, seq long, level short, message string, service string, host string, env string, labels map<string,string>, trace_id binary, span_id binary, fields map<string,string>"
 
 
@@ -41,6 +42,7 @@ def test_json_fields():
     }
     assert [json_pairs(x) for x in ("", "[1]", '"x"', "5", "{bad", '{"a":1,}', '{"a":NaN}')] == [[]] * 7
     assert cut("é" * 5000) == "é" * 4096
+    assert fields('{"a\\ud800":"x\\udc00y","b":["\\ud83d\\ude00","\\ud83d"]}') == {"a\ufffd": "x\ufffdy", "b": '["\U0001f600","\ufffd"]'}
     many = fields('{"": "x", "%s": "y", %s}' % ("n" * 129, ",".join(f'"k{i}": {i}' for i in range(70))))
     assert len(many) == 64 and "" not in many
 
@@ -63,10 +65,10 @@ def test_number_guard(spark):
 def test_write_batch(spark, tmp_path):
     store = ingest.Store(str(tmp_path / "store"))
     first = spark.createDataFrame([row(k, k) for k in range(100)] + [row(200, service=""), row(201, level=9), row(202, time=NOW + timedelta(hours=1)), row(203, fields={"x": "y" * 9000})], SCHEMA)
-    assert ingest.write_batch(first, store, NOW) == {"received": 104, "rejected": 4, "deduped": 0, "written": 100}
-    assert ingest.write_batch(first, store, NOW) == {"received": 104, "rejected": 4, "deduped": 100, "written": 0}
+    assert ingest.write_batch(first, store, NOW) == {"received": 104, "rejected": 4, "deduped": 0, "written": 100, "reasons": REASONS}
+    assert ingest.write_batch(first, store, NOW) == {"received": 104, "rejected": 4, "deduped": 100, "written": 0, "reasons": REASONS}
     second = spark.createDataFrame([row(k, k) for k in range(50, 150)] + [row(7, 7, service="web", labels={"region": "eu"})], SCHEMA)
-    assert ingest.write_batch(second, store, NOW) == {"received": 101, "rejected": 0, "deduped": 50, "written": 51}
+    assert ingest.write_batch(second, store, NOW) == {"received": 101, "rejected": 0, "deduped": 50, "written": 51, "reasons": {}}
     assert {r.reason for r in spark.read.parquet(store.rejected).collect()} == {"missing label service", "invalid level", "time in the future", "field value too long"}
     catalog = ingest.catalog(spark, store)
     assert catalog.streams.count() == 2
@@ -145,6 +147,88 @@ def test_lines_are_numbered_by_byte_offset(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def state(spark, store):
+    """All that a store tells: records, streams and counts."""
+    catalog = ingest.catalog(spark, store)
+    rates = [sorted((str(r.bucket), r.stream_id, r.level, r.n) for r in catalog.rollups[n].groupBy("bucket", "stream_id", "level").agg(F.sum("n").alias("n")).where("n <> 0").collect()) for n in sorted(catalog.rollups)]
+    logs = sorted((r.stream_id, r.seq, r.message) for r in catalog.logs.collect())
+    return logs, sorted((r.stream_id, str(r.first_seen), str(r.last_seen)) for r in catalog.streams.collect()), rates
+
+
+class Stopped(Exception):
+    pass
+
+
+def stopper(*at):
+    """Raises at the n-th step of a name."""
+    seen = []
+
+    def stop(step):
+        seen.append(step)
+        if (step, seen.count(step)) in at:
+            raise Stopped(step)
+
+    return stop
+
+
+def test_stops_lose_and_double_nothing(spark, tmp_path):
+    first = spark.createDataFrame([row(k, k * 70) for k in range(20)], SCHEMA)
+    second = spark.createDataFrame([row(k, k * 70) for k in range(10, 30)] + [row(5, 0, service="web")], SCHEMA)
+    whole = ingest.Store(str(tmp_path / "whole"))
+    for batch in (first, second):
+        ingest.write_batch(batch, whole, NOW)
+    want = state(spark, whole)
+    for step in ("streams", "noted", "logs", "minutes"):
+        store = ingest.Store(str(tmp_path / step))
+        ingest.write_batch(first, store, NOW)
+        with pytest.raises(Stopped):
+            ingest.write_batch(second, store, NOW, stop=stopper((step, 1)))
+        ingest.write_batch(second, store, NOW)
+        assert state(spark, store) == want, step
+
+
+def test_compaction_stops_anywhere(spark, tmp_path):
+    """Killed at any step, and with late records of the day before it goes on: nothing is lost, nothing is doubled."""
+    for n, at in enumerate((("written", 1), ("listed", 1), ("moved", 1), ("deleted", 1), ("deleted", 2))):
+        path = str(tmp_path / f"logs{n}")
+        for part in range(3):
+            storage.append_logs(spark.createDataFrame([row(part * 10 + k, k) for k in range(10)], SCHEMA).withColumn("stream_id", F.lit(1).cast("long")), path)
+        with pytest.raises(Stopped):
+            storage.compact(spark, path, NOW + timedelta(days=1), stop=stopper(at))
+        assert {r.seq for r in spark.read.parquet(path).collect()} == set(range(30))
+        storage.append_logs(spark.createDataFrame([row(99, 5)], SCHEMA).withColumn("stream_id", F.lit(1).cast("long")), path)
+        storage.compact(spark, path, NOW + timedelta(days=1))
+        got = [r.seq for r in spark.read.parquet(path).collect()]
+        assert sorted(got) == [*range(30), 99]
+        assert storage.compact(spark, path, NOW + timedelta(days=1)) == []
+
+
+def test_compacted_store_answers_alike(spark, tmp_path):
+    store = ingest.Store(str(tmp_path / "store"))
+    for part in range(3):
+        ingest.write_batch(spark.createDataFrame([row(part * 10 + k, part * 120 + k) for k in range(15)], SCHEMA), store, NOW)
+    before = state(spark, store)
+    done = ingest.compact(spark, store, NOW + timedelta(days=1))
+    assert set(done) == {"logs", "logs_rate_1m", "logs_rate_1h"} and all(done.values())
+    assert state(spark, store) == before
+    assert spark.read.parquet(store.streams).count() == 1
+
+
+def test_first_writer_wins(spark):
+    rows = spark.createDataFrame([(1, 7, NOW, m, {"a": m}, k) for k, m in enumerate(["first", "second", "third"])], "stream_id long, seq long, time timestamp, message string, fields map<string,string>, arrival long")
+    assert [r.message for r in storage.first_of_each(rows.repartition(3), F.col("arrival")).collect()] == ["first"]
+    again = {storage.first_of_each(rows.drop("arrival").repartition(n)).first().message for n in (1, 2, 3)}
+    assert len(again) == 1
+
+
+def test_streams_are_stored_when_they_tell_something_new(spark):
+    kind = "stream_id long, service string, host string, env string, labels map<string,string>, first_seen timestamp, last_seen timestamp"
+    at = lambda s: NOW + timedelta(seconds=s)
+    stored = spark.createDataFrame([(k, "s", "h", "e", {}, at(0), at(100)) for k in range(4)], kind)
+    seen = spark.createDataFrame([(0, "s", "h", "e", {}, at(5), at(159)), (1, "s", "h", "e", {}, at(5), at(160)), (2, "s", "h", "e", {}, at(-1), at(3)), (9, "s", "h", "e", {}, at(5), at(5))], kind)
+    assert {r.stream_id for r in storage.fresh_streams(seen, stored).collect()} == {1, 2, 9}
+
+
 def test_tail_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([row(k, k) for k in range(30)], SCHEMA).write.parquet(source)
@@ -156,7 +240,7 @@ def test_tail_stream(spark, tmp_path):
 def test_rate_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([row(k, k * 10) for k in range(30)], SCHEMA).withColumn("stream_id", F.lit(1).cast("long")).write.parquet(source)
-    stream = rates.per_minute(spark.readStream.schema(SCHEMA + ", stream_id long").parquet(source))
+    stream = rates.per_minute(spark.readStream.schema(SCHEMA + ", stream_id long").parquet(source), F.lit(NOW).cast("timestamp"))
     query = stream.writeStream.format("memory").queryName("rates").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("rates").agg(F.sum("n"), F.count("*")).first()[:] == (30, 5)
