@@ -97,8 +97,13 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spots.edited_prints(table(spark, sf_dir, "documents"))
 
 
+def spot_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of op10's operator: near-duplicates by length partitions and pruned sets of signatures."""
+    return spots.spot_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_mtree, op4_packing, op5_sentencepiece, op6_language_id, op7_warc, op8_line_dedup, op9_minhash, op10_spotsigs)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_mtree, op4_packing, op5_sentencepiece, op6_language_id, op7_warc, op8_line_dedup, op9_minhash, op10_spotsigs, spot_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:

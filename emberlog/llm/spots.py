@@ -7,20 +7,23 @@ compared by Jaccard likeness; sets whose sizes alone keep them under the asked l
 
 from __future__ import annotations
 
+import base64
 import hashlib
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import buffers, mix64, ranges, release, sliced, tidied, words_of, written
-from emberlog.llm.minhash import _NO_ID, Buckets, components, linked, row_key
+from emberlog.llm.common import buffers, mix64, partitions_of, ranges, sliced, tidied, words_of, written
+from emberlog.llm.minhash import Buckets, linked
 from emberlog.llm.tokens import _Index
 
 CHAIN = 2
+#: Rows a block from which the splits of the blocks are chosen.
+SAMPLE = 20
 #: Common words of English, German, French and Spanish.
 ANCHORS = frozenset(
     "a an the and or of to in on for is are was were be been it that this with as by at from but not he she they you we have has had "
@@ -153,115 +156,95 @@ def spot_duplicates(docs: DataFrame, similar: int = 80, id_col: str = "doc_id",
     return linked(docs, maker, similar, id_col, text_col, spot_buckets(similar))
 
 
-def _packed(sets: tuple[np.ndarray, np.ndarray]) -> pa.Array:
-    """Sets of 32-bit hashes as little-endian binaries."""
-    ends = np.append(0, np.cumsum(sets[1])) * 4
-    return pa.Array.from_buffers(pa.large_binary(), len(sets[1]), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(sets[0].astype("<u4").tobytes())]).cast(pa.binary())
+def _printed(sets: tuple[np.ndarray, np.ndarray]) -> list[str]:
+    ends = np.append(0, np.cumsum(sets[1])).tolist()
+    return [base64.b64encode(sets[0][a:b].astype("<u4").tobytes()).decode() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _unpacked() -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
-    def make(prints: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        data, offsets = buffers(prints.fill_null(b""))
-        return np.frombuffer(data.tobytes(), "<u4").astype(np.uint64), np.diff(offsets) // 4
+PRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    return make
 
+def _levels(splits: list, fan: int = 64) -> list[list]:
+    """The splits as a tree of at most `fan` a list: each level tells which list of the next one to look at."""
+    levels = [splits]
+    while len(levels[0]) > fan:
+        levels.insert(0, levels[0][fan - 1 :: fan])
+    return levels
 
-#: kind 0 is a finished row; the last row of each partition (1) waits for the first of the next one (2).
-PRINTS = "kind int, pid int, doc_id long, n_chars long, edited_sha256 string, print binary, edited binary, near_edited double, near_next double, text string"
 
+def block_of(key: Column, splits: list[tuple[int, int]], kind: str, fan: int = 64) -> Column:
+    """How many of the sorted splits are not above the key, with `fan` comparisons a level."""
+    at = F.lit(0)
+    for level in _levels(splits, fan):
+        groups = [level[k : k + fan] for k in range(0, len(level), fan)] or [[]]
+        lists = F.from_json(F.lit(json.dumps([[{"a": x, "b": y} for x, y in g] for g in groups])), f"array<array<{kind}>>")
+        # a key behind the last split of a level has a list of its own in the next one, which may be empty
+        here = F.coalesce(F.get(lists, at.cast("int")), F.from_json(F.lit("[]"), f"array<{kind}>"))
+        at = at * fan + F.size(F.filter(here, lambda x: x <= key))
+    return at
 
-class _Printer:
-    """Rows of texts, each followed by the next document's, as fingerprints."""
 
-    def __init__(self) -> None:
-        self.spotter = Spotter()
-
-    def __call__(self, ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch:
-        edited = [t[: len(t) - len(t) // 3] + f[: len(t) // 3] for t, f in zip(texts, following, strict=True)]
-        both = pa.array(texts + following[-1:], pa.large_string()) if following[:-1] == texts[1:] else pa.array(texts + following, pa.large_string())
-        sets, n = self.spotter(both), len(texts)
-        mine, after = _take(sets, np.arange(n)), _take(sets, np.arange(n) + (1 if len(both) == n + 1 else n))
-        other = self.spotter(pa.array(edited, pa.large_string()))
-        sha = [hashlib.sha256(e.encode()).hexdigest() for e in edited]
-        columns = [pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(ids, pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array(sha, pa.string())]
-        columns += [_packed(mine), _packed(other), pa.array(likeness(mine, other)), pa.array(likeness(mine, after)), pa.nulls(n, pa.string())]
-        return pa.RecordBatch.from_arrays(columns, names=_NAMES)
-
-
-_NAMES = [x.split(" ")[0] for x in PRINTS.split(", ")]
-
-
-def _ends(kind: int, pid: int, doc: int | None, text: str) -> pa.RecordBatch:
-    values = dict.fromkeys(_NAMES) | {"kind": kind, "pid": pid, "doc_id": doc, "text": text}
-    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}
-    return pa.RecordBatch.from_arrays([pa.array([values[n]], types[x.split(" ")[1]]) for n, x in zip(_NAMES, PRINTS.split(", "), strict=True)], names=_NAMES)
-
-
-@tidied
-def _print_ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    printer, pid = _Printer(), TaskContext.get().partitionId()
-    held: tuple[int | None, str] | None = None  # the last row, which waits for its next
-    for batch in sliced(batches, "text", 2 << 20):
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        if held is None:
-            yield _ends(2, pid, ids[0], texts[0])
-        else:
-            ids, texts = [held[0], *ids], [held[1], *texts]
-        held = ids[-1], texts[-1]
-        if len(ids) > 1:
-            yield printer(ids[:-1], texts[:-1], texts[1:])
-    if held is not None:
-        yield _ends(1, pid, *held)
-
-
-@tidied
-def _print_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    printer = _Printer()
-    for batch in sliced(batches, "text", 2 << 20):
-        yield printer(*(batch.column(k).to_pylist() for k in range(3)))
-
-
-def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = 80) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures, component_id).
-
-    The fingerprints of each text and of its edited text, and how like they are.  The last third of the
-    characters is replaced by the first as many of the next document by falling id (after the last: the
-    first; a null id is last; equal ids by the hash of the text).  A null text is empty.  Repeated rows
-    follow each other.  component_id is the smallest id of the documents that links of fingerprints of
-    `similar` per cent reach (`spot_links`); null if all of them are null.  Other columns are not returned.
-
-    Documents are dealt by ranges of ids, however many share one, and texts are shuffled once; only the
-    last row of each partition meets the first of the next one by a join of as many rows as partitions.
+def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fingerprints of each text and of its edited text, and how like they are.
+
+    The last third of the characters is replaced by the first as many of the next document by falling
+    id (after the last: the first; a null id is last; equal ids by the hash of the text).  A null text
+    is empty.  Repeated rows follow each other.  Documents are dealt into blocks that follow each other in this order,
+    whose splits come from a sample of `SAMPLE` rows a block; the first rows of each block are also sent to the block
+    before it, so texts are shuffled once.  Other columns are not returned.
     """
     spark = docs.sparkSession
-    did = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # the last key parts rows that are alike
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), did.alias("did"), F.xxhash64(text).alias("th"), F.rand(7).alias("salt"))
-    order = [F.desc("did"), F.asc("th"), F.asc("salt")]
-    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    prints = written(ordered.mapInArrow(_print_ordered, PRINTS), "prints")
-    release(spark)
-    # one number for each partition that has rows
-    pids = [r["pid"] for r in prints.where("kind = 2").select("pid").orderBy("pid").collect()]
-    after = spark.createDataFrame(list(zip(pids, pids[1:] + pids[:1], strict=True)), "pid int, next int")
-    heads = prints.where("kind = 2").select(F.col("pid").alias("next"), F.col("text").alias("following"))
-    open_rows = prints.where("kind = 1").select("pid", "doc_id", "text").join(after, "pid").join(heads, "next").select("doc_id", "text", "following")
-    prints = prints.where("kind = 0").unionByName(open_rows.mapInArrow(_print_pairs, PRINTS)).drop("kind", "pid", "text")
-
-    links = spot_links(prints, similar).select("id", "th", "n", "best").distinct()
-    component = F.when(F.col("best.id") != _NO_ID, F.col("best.id"))
-    out = prints.withColumns(row_key("doc_id", "print")).join(links, ["id", "th"])
-    return out.select(
-        "doc_id", "n_chars", "edited_sha256", F.base64("print").alias("fingerprint"), F.base64("edited").alias("edited_fingerprint"), "near_edited", "near_next",
-        F.col("n").alias("n_signatures"), component.alias("component_id"),
-    )
-
-
-def spot_links(prints: DataFrame, similar: int = 80, id_col: str = "doc_id", print_col: str = "print") -> DataFrame:
-    """(id, th, n, best) of rows with packed fingerprints: see `minhash.components`.  Sets meet in buckets of length partitions."""
-    return components(prints, _unpacked, similar, id_col, print_col, spot_buckets(similar))
+    # falling ids are rising ones of their bits turned round
+    turned = F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))))
+    rows = docs.select(turned.alias("turned"), F.xxhash64(text).alias("th"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    ids = written(rows.select("turned", "th"), "ids")
+    blocks = 4 * partitions_of(spark)
+    share = min(1.0, SAMPLE * blocks / max(ids.count(), 1))
+    sample = sorted(tuple(r) for r in ids.where(F.pmod(F.xxhash64("th", "turned"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().limit(4 * SAMPLE * blocks).collect())
+    splits = sorted({sample[len(sample) * k // blocks] for k in range(1, blocks)}) if sample else []
+    kind = "struct<a:bigint,b:bigint>"
+    block = block_of(F.struct(F.col("turned").alias("a"), F.col("th").alias("b")), splits, kind)
+    heads = ids.groupBy(block.alias("block")).agg(F.min(F.struct("turned", "th")).alias("head")).orderBy("block").collect()  # a row a block
+    before = [(*r["head"], heads[k - 1]["block"]) for k, r in enumerate(heads)]
+    first = spark.createDataFrame(before or [(0, 0, 0)], "turned long, th long, before long")
+    rows = rows.join(F.broadcast(first), ["turned", "th"], "left").withColumn("own", block)  # as many rows as blocks
+    place = lambda at, head: F.struct(F.col(at).cast("long").alias("block"), F.lit(head).alias("head"))
+    places = F.when(F.col("before").isNull(), F.array(place("own", False))).otherwise(F.array(place("own", False), place("before", True)))
+    dealt = rows.select("turned", "th", "doc_id", "text", F.explode(places).alias("p")).select("p.block", "p.head", F.col("turned").alias("did"), "th", "doc_id", "text")
+    dealt = dealt.repartition("block").sortWithinPartitions("block", "head", "did", "th")
+
+    @tidied
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spotter = Spotter()
+        held: list[tuple] = []  # the last row, which waits for its next
+        for batch in sliced(batches, "text", 2 << 20):
+            rows = held + list(zip(*(batch.column(k).to_pylist() for k in (0, 1, 4, 5)), strict=True))
+            held = rows[-1:]
+            of = [k for k in range(len(rows) - 1) if not rows[k][1] and rows[k][0] == rows[k + 1][0]]
+            if not of:
+                continue
+            need = sorted({*of, *(k + 1 for k in of)})
+            place = {k: p for p, k in enumerate(need)}
+            edited = []
+            for k in of:
+                text, third = rows[k][3], len(rows[k][3]) // 3
+                edited.append(text[: len(text) - third] + rows[k + 1][3][:third])
+            sets = spotter(pa.array([rows[k][3] for k in need], pa.large_string()))
+            mine = _take(sets, np.array([place[k] for k in of]))
+            after = _take(sets, np.array([place[k + 1] for k in of]))
+            other = spotter(pa.array(edited, pa.large_string()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([rows[k][2] for k in of], pa.int64()), pa.array([len(rows[k][3]) for k in of], pa.int64()),
+                    pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]), pa.array(_printed(mine)), pa.array(_printed(other)),
+                    pa.array(likeness(mine, other)), pa.array(likeness(mine, after)),
+                ],
+                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            )
+
+    return dealt.mapInArrow(run, PRINTS)
 
 
 def _take(sets: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from emberlog.llm import spots
 
@@ -101,18 +102,33 @@ def test_duplicates(spark):
     assert {x.doc_id: (x.n_items, x.component_id) for x in got} == {i: (len(s), root(i)) for i, s in sets}
 
 
-def test_components_of_the_query(spark, monkeypatch):
-    """component_id is that of `spot_duplicates`, for many partitions, equal ids and clashing columns too."""
-    r = random.Random(9)
-    words = ["the", "of", "and"] + [f"w{k}" for k in range(300)]
-    base = [" ".join(r.choice(words[:3]) if r.random() < 0.4 else r.choice(words) for _ in range(80)) for _ in range(6)]
-    rows = [(k, base[k % 6] + (" end" if k > 20 else ""), k, "x") for k in range(40)] + [(7, base[2], 1, "x"), (None, base[3], 1, "x"), (None, "", 1, "x"), (50, None, 1, "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, kind int, print string").repartition(7)
-    got = sorted(map(str, ((x.doc_id, x.n_signatures, x.component_id) for x in spots.edited_prints(df).collect())))
-    assert got == sorted(map(str, ((x.doc_id, x.n_items, x.component_id) for x in spots.spot_duplicates(df).collect())))
+def test_blocks(spark):
+    r = random.Random(4)
+    for count in (0, 1, 5, 64, 65, 1000):
+        splits = sorted({(r.randint(-50, 50), r.randint(-(2**62), 2**62)) for _ in range(count)})
+        keys = [(r.randint(-60, 60), r.randint(-(2**62), 2**62)) for _ in range(300)] + splits[:20]
+        df = spark.createDataFrame(keys, "a long, b long")
+        for fan in (3, 64):
+            got = [x[0] for x in df.select(spots.block_of(F.struct("a", "b"), splits, "struct<a:bigint,b:bigint>", fan)).collect()]
+            assert got == [sum(x <= k for x in splits) for k in keys]
+
+
+def test_many_rows_of_one_id(spark):
+    """They part by their texts, and follow each other all the same."""
+    rows = [(7 if k % 3 else None, f"the house {k} of the king {k % 5} " * (k % 4)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = spots.edited_prints(df).collect()
+    th = {x.text or "": x.th for x in df.select("text", F.xxhash64("text").alias("th")).collect()}
+    order = sorted(rows, key=lambda x: (-(x[0] if x[0] is not None else -(2**63)), th[x[1]]))
+    want = []
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        third = len(t) // 3
+        want.append((str(i), hashlib.sha256((t[: len(t) - third] + nxt[:third]).encode()).hexdigest()))
+    assert sorted((str(x.doc_id), x.edited_sha256) for x in got) == sorted(want)
 
 
 def test_very_long_text(spark):
     rows = [(1, "the red house of the old king " * 20_000), (2, "a small boat"), (3, "the red house of the old king " * 20_000)]
     got = {x.doc_id: x for x in spots.edited_prints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].component_id == got[3].component_id == 1 and got[3].n_chars == 600_000 and got[1].near_next == 1.0
+    assert got[3].n_chars == 600_000 and got[1].near_next == 1.0 and got[1].fingerprint == got[3].fingerprint
+    assert {x.doc_id: x.component_id for x in spots.spot_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 2, 3: 1}
