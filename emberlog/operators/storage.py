@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlog.operators import files
-from emberlog.plans.compiler import COLUMNS, moment, naive
+from emberlog.plans.compiler import COLUMNS, day_of, moment, naive
 
 KEY = ["stream_id", "seq", "time"]
 RETENTION_DAYS, COMPACT_HOURS = 30, 2
@@ -43,13 +43,13 @@ def new_rows(batch: DataFrame, stored: DataFrame | None, arrival: Column | None
         return batch
     if "event_date" in stored.columns:
         # the same partitions only, pruned at run time; accepted times span 7 days and 15 minutes, so these are nine rows at most
-        days = batch.select(F.to_date("time").alias("event_date")).distinct()
+        days = batch.select(day_of(batch, "time").alias("event_date")).distinct()
         stored = stored.join(F.broadcast(days), "event_date", "left_semi")
     return batch.join(stored.select(*KEY), KEY, "left_anti")
 
 
 def dated(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("event_date", F.to_date("time"))
+    return rows.withColumn("event_date", day_of(rows, "time"))
 
 
 def append_logs(rows: DataFrame, path: str) -> None:

@@ -69,6 +69,13 @@ def moment(t: datetime, kind: T.DataType) -> Column:
     return F.lit(text).cast("timestamp_ntz") if isinstance(kind, T.TimestampNTZType) else F.lit(text + "Z").cast("timestamp")
 
 
+def day_of(df: DataFrame, column: str) -> Column:
+    """The date of a time in UTC, whatever the session's zone is."""
+    if isinstance(df.schema[column].dataType, T.TimestampNTZType):
+        return F.to_date(column)
+    return F.date_from_unix_date(F.floor(F.unix_seconds(column) / 86400).cast("int"))
+
+
 def floored(t: datetime, seconds: int) -> datetime:
     """The start of the bucket of `seconds` that holds t; buckets count from ORIGIN in both directions."""
     return ORIGIN + (naive(t) - ORIGIN) // timedelta(seconds=seconds) * timedelta(seconds=seconds)

@@ -28,7 +28,7 @@ def number(text: str) -> int | None:
 def number_column(text: Column) -> Column:
     """As `number`, unspecified for null and unknown spellings."""
     table = F.create_map(*(F.lit(x) for pair in NUMBERS.items() for x in pair))
-    return F.coalesce(F.element_at(table, F.lower(F.trim(text))), F.lit(0)).cast("short")
+    return F.coalesce(F.element_at(table, F.lower(F.regexp_replace(text, r"^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$", ""))), F.lit(0)).cast("short")
 
 
 def name_column(level: Column) -> Column:

@@ -22,13 +22,18 @@ def labelled(rows: DataFrame) -> DataFrame:
     return rows.withColumn("stream_id", F.xxhash64("service", "host", "env", "region"))
 
 
+def with_label_map(rows: DataFrame) -> DataFrame:
+    """The region as a map of extra labels."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return rows.withColumn("labels", F.when(F.col("region").isNull(), none).otherwise(F.create_map(F.lit("region"), F.col("region"))))
+
+
 def catalog_of(rows: DataFrame) -> Catalog:
     """Splits labelled rows into the two tables."""
     rows = labelled(rows)
     keys = ["stream_id", "service", "host", "env", "region"]
     streams = rows.groupBy(*keys).agg(F.min("time").alias("first_seen"), F.max("time").alias("last_seen"))
-    extra = F.when(F.col("region").isNull(), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).otherwise(F.create_map(F.lit("region"), F.col("region")))
-    streams = streams.select("stream_id", "service", "host", "env", extra.alias("labels"), "first_seen", "last_seen")
+    streams = with_label_map(streams).select("stream_id", "service", "host", "env", "labels", "first_seen", "last_seen")
     logs = rows.withColumns({"trace_id": F.lit(None).cast("binary"), "span_id": F.lit(None).cast("binary")}).select(*COLUMNS)
     return Catalog(streams, logs)
 

@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberlog.functions.ingest_fields import extracted
 from emberlog.functions.validation import MESSAGE
+from emberlog.plans import levels
+from emberlog.sources.follow import FollowSource
 
 LINE = T.StructType([T.StructField("source", T.StringType()), T.StructField("time", T.TimestampType()), T.StructField("seq", T.LongType()), T.StructField("line", T.StringType())])
 
@@ -96,22 +99,57 @@ def text_lines(spark: SparkSession, path: str, time: datetime | None = None) ->
     )
 
 
-def stream_lines(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """The same of files that arrive in a folder, as a stream."""
-    rows = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(path)
-    return rows.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_modification_time").alias("time"), assembled(F.col("value")).alias("line"))
+def stream_lines(spark: SparkSession, pattern: str, most: int | None = None) -> DataFrame:
+    """(source, file, time, start, offset, line) of files that grow, are rotated or truncated, as a stream: see `follow`."""
+    spark.dataSource.register(FollowSource)
+    reader = spark.readStream.format("follow").option("path", pattern)
+    return (reader if most is None else reader.option("most", most)).load()
+
+
+def container_lines(rows: DataFrame, container: Column, stream: Column, raw: str = "line") -> DataFrame:
+    """Lines of a container's output: time and seq (its nanoseconds) from the time in front, the message, and the service.
+
+    A line without a time keeps its own (columns time and start).
+    """
+    stamp, message = container_split(F.col(raw))
+    fraction = F.rpad(F.regexp_extract(F.substring_index(F.col(raw), " ", 1), r"\.(\d{1,9})", 1), 9, "0")
+    nanos = F.unix_seconds(stamp) * 1_000_000_000 + F.coalesce(fraction.try_cast("long"), F.lit(0))
+    return rows.withColumns({
+        "time": F.coalesce(stamp, F.col("time")), "start": F.coalesce(nanos, F.col("start")), raw: message, "service": container_service(container, stream)
+    })
+
+
+EMPTY = "map()"
+
+
+def records(
+    rows: DataFrame, host: str, env: str, service: Column | None = None, use_json: bool = True, pattern: str | None = None,
+    level_field: str = "level", service_field: str | None = None, labels: dict[str, str] | None = None, text: str = "line",
+) -> DataFrame:
+    """Lines (source, time, start, `text`) as records with labels, ready for `ingest.start` and `ingest.write_batch`.
+
+    Fields come from JSON keys and the pattern's groups; the level is that of `level_field`, the service that of
+    `service_field`, then `service`, then the file's name.  seq is the line's start.  A level or service that
+    isn't there is unspecified or falls to the next one.
+    """
+    out = rows.withColumn("fields", extracted(F.col(text), use_json, pattern))
+    named = [] if service_field is None else [F.nullif(F.element_at("fields", F.lit(service_field)), F.lit(""))]
+    extra = F.create_map(*(F.lit(x) for pair in sorted((labels or {}).items()) for x in pair)) if labels else F.expr(EMPTY).cast("map<string,string>")
+    return out.select(
+        F.col("time").cast("timestamp").alias("time"), F.col("start").cast("long").alias("seq"), levels.number_column(F.element_at("fields", F.lit(level_field))).alias("level"),
+        assembled(F.col(text)).alias("message"), F.coalesce(*named, *([] if service is None else [service]), service_of(F.col("source"))).alias("service"),
+        F.lit(host).alias("host"), F.lit(env).alias("env"), extra.alias("labels"), F.lit(None).cast("binary").alias("trace_id"), F.lit(None).cast("binary").alias("span_id"), "fields",
+    )
 
 
 def manual(spark: SparkSession, messages: list[str], service: str, host: str, env: str, level: str, time: datetime) -> DataFrame:
     """Records of one label set and level with seq from 0, as a person sends them by hand."""
-    from emberlog.plans import levels
-
     rows = spark.createDataFrame([(k, m) for k, m in enumerate(messages)], "seq long, message string")
     number = levels.number(level)
     if number is None:
         raise ValueError(f"unknown level {level!r}")
     return rows.select(
         F.lit(time).cast("timestamp").alias("time"), "seq", F.lit(number).cast("short").alias("level"), assembled(F.col("message")).alias("message"),
-        F.lit(service).alias("service"), F.lit(host).alias("host"), F.lit(env).alias("env"), F.expr("map()").cast("map<string,string>").alias("labels"),
+        F.lit(service).alias("service"), F.lit(host).alias("host"), F.lit(env).alias("env"), F.expr(EMPTY).cast("map<string,string>").alias("labels"),
         F.lit(None).cast("binary").alias("trace_id"), F.lit(None).cast("binary").alias("span_id"), F.lit(None).cast("map<string,string>").alias("fields"),
     )

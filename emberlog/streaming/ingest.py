@@ -14,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from emberlog.functions.fingerprint import with_stream_ids
 from emberlog.functions.validation import label_reason, record_reason
 from emberlog.operators import files, report, rollup, storage
-from emberlog.plans.compiler import COLUMNS, Catalog, bucket, floored, in_range
+from emberlog.plans.compiler import COLUMNS, Catalog, bucket, day_of, floored, in_range, naive
+from emberlog.streaming.tail import Hub
 
 EXTRA = ["service", "host", "env", "labels"]
 
@@ -67,18 +68,19 @@ def streams_at(spark: SparkSession, store: Store) -> DataFrame | None:
     return None if stored is None else storage.upserted(None, stored)
 
 
-def write_batch(rows: DataFrame, store: Store, now: Column | datetime | None = None, stop: Callable[[str], None] = lambda _: None) -> dict[str, object]:
+def write_batch(rows: DataFrame, store: Store, now: Column | datetime | None = None, stop: Callable[[str], None] = lambda _: None, tails: Hub | None = None) -> dict[str, object]:
     """One batch of records with labels: refused rows go to `rejected`, new ones to `logs`.
 
     Writing a batch again adds nothing: keys that are stored are dropped, and the rollups get the counts
     of the rows that are new.  All tables are only added to; rollups and streams are summed up as they are
     read.  Between the logs and their rollups a note tells which minutes are open; the batch that finds
     one counts these minutes anew first, so a stop at any point loses and doubles nothing.  A store has one
-    writer.  Returns received, rejected, deduped and written rows, and `reasons`: rejected rows by reason.
+    writer.  What is accepted goes to the `tails` too.  Returns received, rejected, deduped and written rows, and
+    `reasons`: rejected rows by reason.
     """
     spark = rows.sparkSession
     repaired(spark, store)
-    moment = F.current_timestamp() if now is None else now if isinstance(now, Column) else F.lit(now).cast("timestamp")
+    moment = F.current_timestamp() if now is None else now if isinstance(now, Column) else F.lit(naive(now).isoformat() + "Z").cast("timestamp")
     rows = rows.withColumns({"time": F.date_trunc("microsecond", "time"), "arrival": F.monotonically_increasing_id()})
     rows = judged(rows, moment).persist()
     try:
@@ -88,6 +90,8 @@ def write_batch(rows: DataFrame, store: Store, now: Column | datetime | None = N
         if accepted < received:
             rows.where(F.col("reason").isNotNull()).drop("arrival").write.mode("append").parquet(store.rejected)
         if accepted:
+            if tails is not None:
+                tails.publish(rows.where(F.col("reason").isNull()).drop("reason", "arrival"))
             written = _accept(rows.where(F.col("reason").isNull()).drop("reason"), store, stop)
         return {"received": received, "rejected": received - accepted, "deduped": accepted - written, "written": written, "reasons": counts}
     finally:
@@ -124,7 +128,7 @@ def _accept(rows: DataFrame, store: Store, stop: Callable[[str], None]) -> int:
 
 
 def _add(counted: DataFrame, path: str) -> None:
-    out = counted.select("bucket", "stream_id", "level", "n", F.to_date("bucket").alias("event_date"))
+    out = counted.select("bucket", "stream_id", "level", "n", day_of(counted, "bucket").alias("event_date"))
     out.write.mode("append").partitionBy("event_date").parquet(path)
 
 
@@ -160,7 +164,7 @@ def compact(spark: SparkSession, store: Store, now: datetime, hours: int = stora
     return done
 
 
-def start(rows: DataFrame, store: Store, checkpoint: str, now: datetime | None = None, once: bool = False) -> StreamingQuery:
+def start(rows: DataFrame, store: Store, checkpoint: str, now: Column | datetime | None = None, once: bool = False, tails: Hub | None = None) -> StreamingQuery:
     """A stream of records with labels into the store.
 
     Duplicates go by the key that is stored.  There is no watermark: times are judged batch by batch, so
@@ -169,7 +173,7 @@ def start(rows: DataFrame, store: Store, checkpoint: str, now: datetime | None =
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        write_batch(df.drop("pairs"), store, now)
+        write_batch(df.drop("pairs"), store, now, tails=tails)
 
     writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()

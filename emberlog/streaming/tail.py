@@ -31,6 +31,16 @@ class Subscriber:
     def __init__(self, size: int = BUFFER) -> None:
         self.queue: queue.Queue = queue.Queue(size)
         self.dropped = 0
+        self._told = 0
+
+    def take(self, timeout: float | None = None) -> tuple[object, int] | None:
+        """The next record, and how many were lost since the one before; None if none came in time."""
+        try:
+            record = self.queue.get(timeout=timeout)
+        except queue.Empty:
+            return None
+        lost, self._told = self.dropped - self._told, self.dropped
+        return record, lost
 
     def offer(self, record: object) -> None:
         try:
@@ -47,18 +57,45 @@ class Subscriber:
                 return out
 
 
+def offered(batch: DataFrame, subscriber: Subscriber) -> None:
+    """Hands a batch of matching records to a subscriber, in order."""
+    # no more than the buffer holds can be shown; the rest is only counted
+    room = subscriber.queue.maxsize - subscriber.queue.qsize()
+    rows = batch.orderBy("time", "seq").limit(room + 1).collect() if room > 0 else []
+    for row in rows[:room]:
+        subscriber.offer(row)
+    if len(rows) > room or room <= 0:
+        subscriber.dropped += batch.count() - min(len(rows), max(room, 0))
+
+
+class Hub:
+    """The tails of an ingest: what a batch accepts goes to all subscribers whose query it matches, and never waits for one."""
+
+    def __init__(self) -> None:
+        self._tails: dict[Subscriber, Query] = {}
+
+    def subscribe(self, query: Query | str, size: int = BUFFER) -> Subscriber:
+        """QueryError for what a tail can't have."""
+        query = parse(query) if isinstance(query, str) else query
+        tail_predicates(query)
+        subscriber = Subscriber(size)
+        self._tails[subscriber] = query
+        return subscriber
+
+    def leave(self, subscriber: Subscriber) -> None:
+        self._tails.pop(subscriber, None)
+
+    def publish(self, accepted: DataFrame) -> None:
+        for subscriber, query in list(self._tails.items()):
+            offered(tailed(query, accepted), subscriber)
+
+
 def start(query: Query | str, records: DataFrame, subscriber: Subscriber, checkpoint: str | None = None, once: bool = False) -> StreamingQuery:
     """Sends what a tail shows to the subscriber, newest batches as they come."""
     matching = tailed(query, records)
 
     def send(batch: DataFrame, _: int) -> None:
-        # no more than the buffer holds can be shown; the rest is only counted
-        room = subscriber.queue.maxsize - subscriber.queue.qsize()
-        rows = batch.orderBy("time", "seq").limit(room + 1).collect() if room > 0 else []
-        for row in rows[:room]:
-            subscriber.offer(row)
-        if len(rows) > room or room <= 0:
-            subscriber.dropped += batch.count() - min(len(rows), max(room, 0))
+        offered(batch, subscriber)
 
     writer = matching.writeStream.foreachBatch(_kept(send))
     if checkpoint:

@@ -17,3 +17,15 @@ def test_registered_queries_cover_all_times(spark, tmp_path):
     assert [r.value for r in points if r.bucket is None] == [2 * len(TEXT)]
     turns = catalogue.ENTRIES["agg_conv_by_role"].run(spark, str(tmp_path)).collect()
     assert [r.value for r in turns] == [1.0] * 3 and len({r.bucket for r in turns}) == 3
+
+
+def test_the_zone_of_the_session_changes_nothing(spark):
+    sf = "/root/testdata/sf0.001"
+    names = ("stored_records", "stored_rollup_1h", "truncated_flag", "container_records", "container_lines")
+    run = lambda: {n: sorted(map(str, catalogue.ENTRIES[n].run(spark, sf).collect())) for n in names}
+    want = run()
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert run() == want and all(want.values())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
