@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +23,7 @@ from emberlog.llm.tokens import _Index
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
 SWITCH = 9.0
-LETTERS = regex.compile(r"\p{L}+")
+NO_LETTERS = r"[^\pL]+"
 #: First code points of blocks of letters, and their script.
 SCRIPTS = (
     (0x0041, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -46,7 +45,7 @@ _SCRIPT_OF = np.array([SCRIPT_NAMES.index(name) for _, name in SCRIPTS] + [SCRIP
 
 def letters_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Runs of letters in lower case: their numbers among the distinct ones, these, and how many each text has."""
-    return coded(pc.split_pattern_regex(pc.utf8_lower(texts.fill_null("")), r"[^\pL]+"))
+    return coded(pc.split_pattern_regex(pc.utf8_lower(texts.fill_null("")), NO_LETTERS))
 
 
 def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,16 +232,23 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def _spans(texts: pa.Array, label: np.ndarray, n: np.ndarray, languages: list[str]) -> list[list[dict]]:
+    """The labelled words' places: the same runs of letters of the same text in lower case, which has as many characters."""
+    if not languages:
+        return [[] for _ in range(len(texts))]
     out, at = [], 0
-    for text, count in zip(texts.fill_null("").to_pylist(), n.tolist(), strict=True):
+    lower = pc.utf8_lower(texts.fill_null(""))
+    for text, words in zip(lower.to_pylist(), pc.split_pattern_regex(lower, NO_LETTERS).to_pylist(), strict=True):
         mine: list[dict] = []
-        for k, m in enumerate(LETTERS.finditer(text) if languages else ()):
-            lang = languages[label[at + k]]
+        end = 0
+        for word in filter(None, words):
+            start = text.index(word, end)
+            end = start + len(word)
+            lang = languages[label[at]]
+            at += 1
             if mine and mine[-1]["lang"] == lang:
-                mine[-1]["end"] = m.end()
+                mine[-1]["end"] = end
             else:
-                mine.append({"lang": lang, "start": m.start(), "end": m.end()})
-        at += count
+                mine.append({"lang": lang, "start": start, "end": end})
         out.append(mine)
     return out
 

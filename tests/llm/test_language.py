@@ -56,3 +56,49 @@ def test_spans_nulls_and_scripts(spark, model):
     empty = language.learn(df.where("false").withColumn("lang", df.text))
     assert {r.lang_pred for r in language.identify(df, empty).collect()} == {"und"}
     assert language.identify(df.limit(0), model).count() == 0
+
+
+def naive(model, text, switch=language.SWITCH):
+    """The predicted language of one text, word by word."""
+    import regex
+
+    words = [w.lower() for w in regex.findall(r"\p{L}+", text or "")]
+    if not words:
+        return "und", 0.0
+    best, back = None, []
+    for w in words:
+        points, sizes, script = language.spelled([w])
+        bucket, _ = language.gram_buckets(points, sizes)
+        score = model.table[bucket].astype(float).sum(axis=0) / len(language.GRAMS)
+        score = np.maximum(score, score.max() - 30)
+        score[~model.allowed[script[0]]] = -1000
+        if best is None:
+            best = score
+            continue
+        jump = best.max() - switch
+        back.append([k if best[k] >= jump else int(best.argmax()) for k in range(len(best))])
+        best = np.maximum(best, jump) + score
+    state = [int(best.argmax())]
+    for step in reversed(back):
+        state.append(step[state[-1]])
+    letters = np.zeros(len(best))
+    for w, s in zip(words, reversed(state), strict=True):
+        letters[s] += len(w)
+    return model.languages[int(letters.argmax())], letters.max() / letters.sum()
+
+
+def test_predictions_like_a_plain_version(spark, model):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    rows = [(r.doc_id, r.text[:3000] if r.text else r.text) for r in docs.collect()] + [(10_000, "Straße İstanbul 中文 the house"), (10_001, "ÅÅ le la les of the")]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, text in rows:
+        lang, share = naive(model, text)
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(share, abs=1e-6)
+
+
+def test_very_long_text_and_clashing_columns(spark, model):
+    text = "the house of the king and the river " * 30_000
+    df = spark.createDataFrame([(1, text, "p", 2.0, 5), (2, None, "p", 2.0, 5)], "doc_id long, text string, lang_pred string, score double, label int")
+    got = {r.doc_id: r for r in language.identify(df, model, spans=True).collect()}
+    assert got[1].lang_pred == "en" and got[1].label == 5 and got[1].lang_spans[0].start == 0 and got[1].lang_spans[-1].end == len(text) - 1
+    assert got[2].lang_pred == "und" and got[2].lang_spans == []

@@ -44,10 +44,30 @@ def test_codec_like_library():
         assert codec._slow(w) == codec.v.library.encode(w[1:])
 
 
+def spelled(text):
+    library = pieces.Codec(PIECES).v.library
+    return library.decode(library.encode(text or ""))
+
+
+def test_differences_raise():
+    codec = pieces.Codec(PIECES)
+    t = ["one river", "", "two  stones"]
+    flat, sizes = codec.encode(t)
+    decoded = codec.decode(flat, sizes)
+    names = pa.array([4, 5, 6])
+    pieces.verify(codec.v.library, names, t, flat, sizes, decoded)
+    wrong = flat.copy()
+    wrong[-1] += 1
+    with pytest.raises(ValueError, match="document 6"):
+        pieces.verify(codec.v.library, names, t, wrong, sizes, decoded)
+    with pytest.raises(ValueError, match="document 4"):
+        pieces.verify(codec.v.library, names, t, flat, sizes, [b"One river", *decoded[1:]])
+
+
 def test_piece_codes(spark):
     rows = [(k, t, "x") for k, t in enumerate(texts(9, 20))] + [(None, "null id", "x"), (2, "again", "y")]
     out = pieces.piece_codes(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string"), PIECES, keep=True).collect()
-    assert len(out) == len(rows) and all(r.agrees for r in out)
+    assert len(out) == len(rows) and [r.decoded for r in out if r.doc_id == 2] == [spelled(rows[2][1]), "again"]
     assert {r.n_tokens for r in out if r.doc_id == 20} == {2}
     assert pieces.piece_codes(spark.createDataFrame([], "doc_id long, text string"), PIECES).count() == 0
 
