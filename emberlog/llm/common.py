@@ -239,19 +239,50 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Edges that one task unites; more are contracted by joins until so few are left.
+UNITED = 1 << 16
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all ends of few edges."""
+    root: dict[int, int] = {}
+
+    def of(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            p, q = of(u), of(v)
+            root[max(p, q)] = min(p, q)
+    nodes = list(root)
+    for at in range(0, len(nodes), 1 << 16):
+        part = nodes[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(list(map(of, part)), pa.int64())], names=["node", "component"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of `edges` reaches, itself included.
 
     Each round hooks every node to its smallest neighbour, halves the chains of parents until they are
     stars, and contracts the graph to the star centres.  All steps are joins and minima, which combine
     before the shuffle, so a node with very many links costs no task more than others.  Rounds are
-    written to the shared folder; the number of rounds grows with the logarithm of the nodes.
+    written to the shared folder; their number grows with the logarithm of the nodes.  When `UNITED` edges or
+    fewer are left between the centres, one task finishes.
     """
-    spark = edges.sparkSession
     # ends as (u, v) with u > v
     todo = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     labels: DataFrame | None = None
-    while not todo.isEmpty():
+
+    def contracted(stars: DataFrame) -> DataFrame:
+        """The components so far, by those of their centres."""
+        if labels is None:
+            return stars
+        top = stars.select(F.col("node").alias("component"), F.col("component").alias("higher"))
+        return written(labels.join(top, "component", "left").select("node", F.coalesce("higher", "component").alias("component")), "labels")
+
+    while todo.count() > UNITED:
         both = todo.select("u", "v").union(todo.select(F.col("v").alias("u"), F.col("u").alias("v")))
         parent = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("parent"))
         parent = written(parent, "parents")
@@ -259,22 +290,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
             jumped = parent.join(up, "parent", "left").select("node", "parent", F.coalesce("grand", "parent").alias("grand"))
             jumped = written(jumped, "parents")
-            moved = jumped.where("grand <> parent").isEmpty()
+            done = jumped.where("grand <> parent").isEmpty()
             parent = jumped.select("node", F.col("grand").alias("parent"))
-            if moved:
+            if done:
                 break
-        stars = parent
-        if labels is None:
-            labels = stars.select("node", F.col("parent").alias("component"))
-        else:
-            top = stars.select(F.col("node").alias("component"), F.col("parent").alias("higher"))
-            labels = written(labels.join(top, "component", "left").select("node", F.coalesce("higher", "component").alias("component")), "labels")
-        left = stars.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
-        right = stars.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
-        todo = written(
-            todo.join(left, "u").join(right, "v").where("pu <> pv").select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct(), "edges"
-        )
-    if labels is None:
-        node = todo.select(F.col("u").alias("node"))
-        return node.withColumn("component", F.col("node"))
-    return labels
+        labels = contracted(parent.select("node", F.col("parent").alias("component")))
+        left = parent.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
+        right = parent.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
+        todo = todo.join(left, "u").join(right, "v").where("pu <> pv")
+        todo = written(todo.select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct(), "edges")
+    return contracted(written(todo.coalesce(1).mapInArrow(_united, "node long, component long"), "labels"))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from emberlog.llm import families
+from emberlog.llm import common, families
 
 
 def roots(n, links):
@@ -58,3 +58,15 @@ def test_like_brute_force(spark, monkeypatch, seed, limits):
         assert similar(sets[a], sets[b])
     known = list(enumerate(comps))
     assert roots(len(sets), known + mine) == roots(len(sets), known + alike)
+
+
+@pytest.mark.parametrize("few", [0, 40, 1 << 16])
+def test_components(spark, monkeypatch, few):
+    """By rounds, by rounds and one task for the rest, and by one task."""
+    monkeypatch.setattr(common, "UNITED", few)
+    r = random.Random(few)
+    links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(150)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
+    got = {x.node: x.component for x in common.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = roots(560, [x for x in links if x[0] != x[1]])
+    assert got == {k: want[k] for k in {k for x in links if x[0] != x[1] for k in x}}
+    assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
