@@ -40,11 +40,12 @@ def _documents(df: DataFrame) -> DataFrame:
 
 @_shipped
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
+    """Drops documents without a language: null texts and texts without a letter.  A null lang becomes the predicted one."""
     model = language.learn(docs.where(~language.held_out()))
     if not model.languages:  # without a labelled row every prediction is `und`
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
-    return language.identify(docs, model).where("lang_pred <> 'und'").select(*COLUMNS)
+    told = language.identify(docs, model).where("lang_pred <> 'und'")
+    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 @_shipped

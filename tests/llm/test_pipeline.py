@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from test_minhash import brute as near_brute
 from test_suffix import brute as suffix_brute
 
@@ -87,3 +88,12 @@ def test_language_stage_without_labels(spark):
     texts = ["a river", "", None, "123 456", "γη"]
     docs = spark.createDataFrame([(k, t, None, "s", len(t or "")) for k, t in enumerate(texts)], SCHEMA)
     assert sorted(d.doc_id for d in corpus_pipeline.identify_language(spark, docs, "").collect()) == [0, 4]
+
+
+def test_language_stage_fills_what_it_finds(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text is not null").select("doc_id", "text", "lang", "source", "n_chars")
+    some = docs.where("doc_id % 50 = 7")
+    unnamed = docs.join(some.select("doc_id"), "doc_id", "left_anti").unionByName(some.withColumn("lang", F.lit(None).cast("string")))
+    got = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, unnamed, "").collect()}
+    want = {r.doc_id: r.lang for r in some.collect()}
+    assert sum(got[i] == lang for i, lang in want.items()) > 0.9 * len(want) and all(got.values())
