@@ -22,8 +22,8 @@ from emberlog.llm.minhash import Buckets, linked
 from emberlog.llm.tokens import _Index
 
 CHAIN = 2
-#: Rows a block from which the splits of the blocks are chosen.
-SAMPLE = 20
+#: Blocks a partition, and sampled rows a block (and in all) from which their splits are chosen.
+BLOCKS, SAMPLE, MOST_SAMPLED = 12, 20, 1 << 20
 #: Common words of English, German, French and Spanish.
 ANCHORS = frozenset(
     "a an the and or of to in on for is are was were be been it that this with as by at from but not he she they you we have has had "
@@ -190,7 +190,7 @@ def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The last third of the characters is replaced by the first as many of the next document by falling
     id (after the last: the first; a null id is last; equal ids by the hash of the text).  A null text
     is empty.  Repeated rows follow each other.  Documents are dealt into blocks that follow each other in this order,
-    whose splits come from a sample of `SAMPLE` rows a block; the first rows of each block are also sent to the block
+    whose splits come from a sample of ids and hashes; the first rows of each block are also sent to the block
     before it, so texts are shuffled once.  Other columns are not returned.
     """
     spark = docs.sparkSession
@@ -199,9 +199,10 @@ def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     turned = F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))))
     rows = docs.select(turned.alias("turned"), F.xxhash64(text).alias("th"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     ids = written(rows.select("turned", "th"), "ids")
-    blocks = 4 * partitions_of(spark)
-    share = min(1.0, SAMPLE * blocks / max(ids.count(), 1))
-    sample = sorted(tuple(r) for r in ids.where(F.pmod(F.xxhash64("th", "turned"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().limit(4 * SAMPLE * blocks).collect())
+    blocks = BLOCKS * partitions_of(spark)
+    wanted = min(SAMPLE * blocks, MOST_SAMPLED)
+    share = min(1.0, wanted / max(ids.count(), 1))
+    sample = sorted(tuple(r) for r in ids.where(F.pmod(F.xxhash64("th", "turned"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().limit(2 * wanted).collect())
     splits = sorted({sample[len(sample) * k // blocks] for k in range(1, blocks)}) if sample else []
     kind = "struct<a:bigint,b:bigint>"
     block = block_of(F.struct(F.col("turned").alias("a"), F.col("th").alias("b")), splits, kind)

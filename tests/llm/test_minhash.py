@@ -85,3 +85,12 @@ def test_many_posts_that_differ_in_one_word(spark):
     docs = spark.range(12_000).selectExpr("id as doc_id", f"{made} as text").unionByName(spark.createDataFrame([(20_000, "the quick brown fox x7 jumps over the lazy dog and then")], "doc_id long, text string"))
     got = minhash.near_duplicates(docs, words=2)
     assert got.where("not kept").collect() == [(20_000, 11, 7, False)] and got.count() == 12_001
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    long = " ".join(f"w{k % 50_021}" for k in range(300_000))
+    rows = [(1, long), (2, long + " end"), (3, "a b c"), (4, None)]
+    names = "id string, th int, n string, best int, node long, key string, comp int, a int, b int, hub int"
+    df = spark.createDataFrame([(*r, "x", 1, "y", 2, 3, "z", 4, 5, 6, 7) for r in rows], f"doc_id long, text string, {names}")
+    got = sorted(map(tuple, minhash.near_duplicates(df).collect()))
+    assert [x[0:1] + x[2:] for x in got] == [(1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True)] and got[1][1] == got[0][1] + 1

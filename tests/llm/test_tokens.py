@@ -123,6 +123,14 @@ def test_pack(spark, monkeypatch):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), WORDS).count() == 0
 
 
+def test_pack_ignores_other_columns(spark):
+    rows = [(k, "the river " * k) for k in range(8)]
+    df = spark.createDataFrame([(*r, "u", 5, "c", 1.0, "i") for r in rows], "doc_id long, text string, uid string, pid long, class string, rank double, ids string")
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    digest = lambda d: sorted(map(tuple, packing.piece_digest(packing.pack(d, WORDS)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()))
+    assert [x[0] for x in digest(df)] and {x[0]: x[4] for x in digest(df)} == {x[0]: x[4] for x in digest(plain)}
+
+
 def test_count_tokens(spark, tmp_path):
     r = np.random.default_rng(1)
     for name, ids in (("a.bin", r.integers(0, 4, 999)), ("b.bin", np.array([7] * 50)), ("c.bin", np.array([3])), ("d.bin", np.array([1, 2])), ("e.bin", np.array([1, 3, 3])), ("f.bin", np.zeros(0)), ("g.bin", np.array([3] * 30))):
