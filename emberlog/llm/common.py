@@ -144,6 +144,8 @@ def tidied(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Words between ASCII white space: their numbers among the distinct words, these, and the words of each text."""
     texts = texts.fill_null("")
+    if pa.types.is_large_string(texts.type) and len(texts) and np.frombuffer(texts.buffers()[1], np.int64, 1, 8 * texts.offset)[0]:
+        texts = pa.array(texts.to_pylist(), pa.large_string())  # Arrow lowers such arrays wrongly if their bytes don't begin at 0
     return coded(pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts))
 
 

@@ -148,7 +148,7 @@ def spot_duplicates(docs: DataFrame, similar: int = 80, id_col: str = "doc_id",
         spotter = Spotter()
 
         def make(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            sets, sizes = spotter(texts.fill_null("").cast(pa.large_string()))
+            sets, sizes = spotter(texts.fill_null(""))
             return sets.astype(np.uint64), sizes
 
         return make

@@ -132,3 +132,13 @@ def test_very_long_text(spark):
     got = {x.doc_id: x for x in spots.edited_prints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[3].n_chars == 600_000 and got[1].near_next == 1.0 and got[1].fingerprint == got[3].fingerprint
     assert {x.doc_id: x.component_id for x in spots.spot_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_slices_of_batches(spark):
+    """Texts of several megabytes in one partition, with characters of several bytes."""
+    r = random.Random(3)
+    words = ["the", "von", "für", "été", "más", "Straße", "中文"] + [f"wört{k}" for k in range(2000)]
+    base = [" ".join(r.choice(words) for _ in range(150)) for _ in range(1500)]
+    rows = [(k, base[k % 1500]) for k in range(3000)]
+    got = spots.spot_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {x.doc_id: x.component_id for x in got} == {k: k % 1500 for k in range(3000)}
