@@ -89,17 +89,18 @@ HEAVY = 1000
 
 
 def unskewed(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """`rows` joined with `keys`, a written table of one row for each value of `on` and the number `c` of rows that hold it.
+    """`rows` joined with `keys`: one row for each value of `on` with the number `c` of rows that hold it.
 
     A value that more than one in HEAVY rows hold is met by broadcast, so its rows stay where they are;
     there can't be more than HEAVY such values, whatever the size.  The others are met as Spark sees fit.
-    `c` goes.  `how` is inner or left_semi; both tables are read again, so they should be written ones.
+    `c` goes.  `how` is inner or left_semi; both tables are read again, so a costly one should be a written one.
     """
     most = max(rows.count() // HEAVY, 1)
-    hot, rest = keys.where(F.col("c") > most).drop("c"), keys.where(F.col("c") <= most).drop("c")
-    if hot.isEmpty():
+    rest = keys.where(F.col("c") <= most).drop("c")
+    found = keys.where(F.col("c") > most).drop("c").collect()  # HEAVY rows at most
+    if not found:
         return rows.join(rest, on, how)
-    hot = F.broadcast(hot)  # HEAVY rows at most
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, rest.schema))
     return rows.join(hot, on, how).unionByName(rows.join(hot.select(*on), on, "left_anti").join(rest, on, how))
 
 

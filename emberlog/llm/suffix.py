@@ -334,8 +334,7 @@ def suffix_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     contents = written(
         mixed.groupBy("key", "content").agg(F.count("*").alias("c"), F.min(F.struct("did", "th", "s", "n", "a")).alias("one")), "contents"
     )
-    counts = contents.groupBy("key").agg(F.count("*").alias("c"))
-    counts = written(counts.withColumn("large", F.col("c") > LARGE_KEY), "counts")
+    counts = contents.groupBy("key").agg(F.count("*").alias("c")).withColumn("large", F.col("c") > LARGE_KEY)
     asked = unskewed(contents.select("one.*", "key"), counts, ["key"])
     lists = asked.groupBy("did", "th").agg(F.collect_list(F.struct("s", "n", "a", "key", "large")).alias("runs"))
     fetched = written(slim.join(lists, ["did", "th"]).select("did", "th", "text", "runs").mapInArrow(_fetch(length), FETCHED), "fetched")
@@ -346,15 +345,13 @@ def suffix_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small = fetched.where("t is null").select("did", "th", "s", "n", "key", "body")
     blocks = fetched.where("t is not null")
     routes = blocks.groupBy("key").agg(F.count("*").alias("c"), F.min("w").alias("lo"), F.max("w").alias("hi")).where("c > 1")
-    routes = written(routes.select("key", "c", F.col("c").alias("many"), "lo", "hi"), "routes")
-    blocks = unskewed(blocks, routes, ["key"])
+    blocks = unskewed(blocks, routes.withColumn("many", F.col("c")), ["key"])
     copied = blocks.where("lo = hi").select("did", "th", "s", "n")
     differ = blocks.where("lo <> hi")
     sortable = small.unionByName(differ.where(F.col("many") <= LARGE_KEY).select("did", "th", "s", "n", "key", "body"))
     sorted_ = sortable.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_suffixes(length), MARK)
     windows = differ.where(F.col("many") > LARGE_KEY).select("did", "th", "s", "n", "key", "t", "body").mapInArrow(_windows(length), WINDOW)
-    windows = written(windows, "windows")
-    again = written(windows.groupBy("key", "t", "w").agg(F.count("*").alias("c")).where("c > 1"), "again")
+    again = windows.groupBy("key", "t", "w").agg(F.count("*").alias("c")).where("c > 1")
     big = unskewed(windows, again, ["key", "t", "w"], "left_semi").select("did", "th", "s", "n")
     return copies.unionByName(copies_too).unionByName(copied).unionByName(sorted_).unionByName(big)
 
