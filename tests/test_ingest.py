@@ -265,6 +265,16 @@ def test_multiline_batch(spark):
     assert got == {("a", 0, 1, 2, "E one\n  at x"), ("a", 2, 2, 1, "next"), ("b", 0, 1, 2, "  at first\n  at y")}
 
 
+def test_multiline_in_chunks(spark):
+    r = random.Random(11)
+    rows = [(s, at, r.choice(["E", "  at x", "  at y", "next"]) + str(at)) for s in ("a", "b", "c") for at in sorted(r.sample(range(500), 90))]
+    rows += [("d", at, f"  at {at}") for at in range(0, 300, 7)]
+    df = spark.createDataFrame(rows, "source string, start long, line string")
+    run = lambda chunk: sorted(map(tuple, batch_multiline.joined(df, F.col("line").rlike(r"^\s+at "), chunk=chunk).collect()))
+    assert len(run(None)) > 50 and run(None) == run(1) == run(13) == run(10_000)
+    assert [x[:4] for x in run(None) if x[0] == "d"] == [("d", 0, 294, 43)]
+
+
 def test_multiline_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     schema = "source string, time timestamp, start long, offset long, line string"
