@@ -20,6 +20,30 @@ def outcome_counts(reasons: DataFrame, reason: str = "reason") -> DataFrame:
     return reasons.groupBy(F.coalesce(F.col(reason), F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+class Counters:
+    """Totals over the batches of an ingest: add each result of `write_batch`, or hand `add` to `ingest.start`."""
+
+    def __init__(self) -> None:
+        self.totals = dict.fromkeys(("received", "written", "deduped", "rejected"), 0)
+        self.reasons: dict[str, int] = {}
+
+    def add(self, batch: dict) -> None:
+        for name in self.totals:
+            self.totals[name] += batch[name]
+        for reason, n in batch["reasons"].items():
+            self.reasons[reason] = self.reasons.get(reason, 0) + n
+
+    def exposed(self) -> str:
+        """The totals in the text format that metric servers read."""
+        lines = []
+        for name in ("received", "written", "deduped"):
+            lines += [f"# TYPE emberlog_records_{name}_total counter", f"emberlog_records_{name}_total {self.totals[name]}"]
+        lines.append("# TYPE emberlog_records_rejected_total counter")
+        quote = lambda text: text.replace("\\", "\\\\").replace('"', '\\"')
+        lines += [f'emberlog_records_rejected_total{{reason="{quote(reason)}"}} {n}' for reason, n in sorted(self.reasons.items())]
+        return "\n".join(lines) + "\n"
+
+
 def nearest_rank(rows: DataFrame, value: str, ps: list[float]) -> DataFrame:
     """(p, value): the smallest value that at least a share p of the rows doesn't exceed.
 

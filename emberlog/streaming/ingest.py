@@ -164,16 +164,18 @@ def compact(spark: SparkSession, store: Store, now: datetime, hours: int = stora
     return done
 
 
-def start(rows: DataFrame, store: Store, checkpoint: str, now: Column | datetime | None = None, once: bool = False, tails: Hub | None = None) -> StreamingQuery:
+def start(rows: DataFrame, store: Store, checkpoint: str, now: Column | datetime | None = None, once: bool = False, tails: Hub | None = None, told: Callable[[dict], None] | None = None) -> StreamingQuery:
     """A stream of records with labels into the store.
 
     Duplicates go by the key that is stored.  There is no watermark: times are judged batch by batch, so
     one that is refused drops no other record, and late records reach `rejected`.  Delivery is at least
-    once, storage is exactly once.
+    once, storage is exactly once.  `told` gets the result of each batch, see `report.Counters`.
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        write_batch(df.drop("pairs"), store, now, tails=tails)
+        done = write_batch(df.drop("pairs"), store, now, tails=tails)
+        if told is not None:
+            told(done)
 
     writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()

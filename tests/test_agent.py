@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog import __main__ as cli
 from emberlog.engine import Engine
-from emberlog.operators import storage
+from emberlog.operators import report, storage
 from emberlog.plans.ast import QueryError
 from emberlog.plans.compiler import Catalog
 from emberlog.sources import follow, lines
@@ -80,7 +80,11 @@ def test_files_to_store(spark, tmp_path):
     (tmp_path / "well.log").write_text('{"level":"warn","depth":7}\nplain\n{"app":"pump","level":"nope"}\n')
     store = ingest.Store(str(tmp_path / "store"))
     rows = lines.records(lines.stream_lines(spark, f"{tmp_path}/*.log"), "yard", "farm", service_field="app", labels={"river": "ilm"})
-    ingest.start(rows, store, str(tmp_path / "ckpt"), once=True).awaitTermination(120)
+    counters = report.Counters()
+    ingest.start(rows, store, str(tmp_path / "ckpt"), once=True, told=counters.add).awaitTermination(120)
+    counters.add({"received": 3, "written": 0, "deduped": 1, "rejected": 2, "reasons": {"time too old": 2}})
+    assert counters.totals == {"received": 6, "written": 3, "deduped": 1, "rejected": 2}
+    assert 'emberlog_records_rejected_total{reason="time too old"} 2' in counters.exposed().splitlines()
     found = ingest.catalog(spark, store)
     got = found.logs.join(found.streams.select("stream_id", "service", "labels"), "stream_id").orderBy("seq").collect()
     assert [(r.seq, r.level, r.service, r.labels) for r in got] == [(0, 4, "well", {"river": "ilm"}), (27, 0, "well", {"river": "ilm"}), (33, 0, "pump", {"river": "ilm"})]
