@@ -85,7 +85,10 @@ class Model:
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 20_000) -> Model:
-    """A model from rows with a language, a sample of about `sample_docs` of them by the hash of the text."""
+    """A model from rows with a language, a sample of about `sample_docs` of them by the hash of the text.
+
+    The driver gets at most BUCKETS counts for each language of the sample, which has no more languages than rows.
+    """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     total = rows.select("lang").count()
     share = int(min(1.0, sample_docs / max(total, 1)) * (1 << 30))
