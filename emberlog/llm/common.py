@@ -7,6 +7,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -67,9 +68,24 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Seconds between two times at which executors give memory back.
+REST_S = 2.0
+_rested = [0.0]
+
+
+def rest(spark: SparkSession) -> None:
+    """Lets the executors' heaps shrink between jobs: what one stage needed there, the Python workers of the next one need beside it."""
+    if time.monotonic() - _rested[0] < REST_S:
+        return
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+    _rested[0] = time.monotonic()
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    rest(spark)
     path = fresh_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
