@@ -13,8 +13,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import sys
-from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
@@ -28,8 +26,6 @@ from emberlog.llm.tokens import ChunkCache
 
 MARK = "▁"
 _NONE = np.int32(2**31 - 1)
-#: The library encodes every document; of so many it decodes one, the first of each slice included.
-DECODED = 4
 #: Chunks longer than this are merged with a heap each.
 LONG = 48
 
@@ -232,22 +228,14 @@ class Codec:
         return [body[a + (body[a : a + 1] == b" ") : b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _u32(ids: list[int]) -> bytes:
-    """Ids as little-endian 32-bit integers."""
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
-
-
 def verify(library, names: pa.Array, texts: list[str], flat: np.ndarray, sizes: np.ndarray, decoded: list[bytes]) -> None:
-    """ValueError if the library gives a text other ids, or the ids of one in `DECODED` documents another text."""
-    theirs = library.encode(texts, num_threads=1)
+    """ValueError if the library gives any text other ids, or these ids, with begin and end, another text."""
+    theirs = library.encode(texts, add_bos=True, add_eos=True, out_type="numpy", num_threads=1)
+    spelled = library.decode(theirs, num_threads=1)
     ends = np.append(0, np.cumsum(sizes)).tolist()
-    ours = flat.astype("<u4")
-    spelled = dict(zip(range(0, len(texts), DECODED), library.decode(theirs[::DECODED], num_threads=1), strict=True))
-    for k, ids in enumerate(theirs):
-        if _u32(ids) != ours[ends[k] : ends[k + 1]].tobytes() or (k in spelled and spelled[k].encode() != decoded[k]):
+    ours = flat.astype(np.int32)
+    for k, (ids, text) in enumerate(zip(theirs, spelled, strict=True)):
+        if ids[1:-1].tobytes() != ours[ends[k] : ends[k + 1]].tobytes() or text.encode() != decoded[k]:
             raise ValueError(f"ids or text of document {names[k]} differ from the library's")
 
 
@@ -263,9 +251,9 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def piece_codes(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256; with `keep` also ids and decoded.
 
-    ids hold begin and end.  Every text is also encoded by the sentencepiece library, and the ids of one in
-    `DECODED` are decoded by it; a difference raises ValueError.  A null text is empty;
-    repeated rows give repeated rows, other columns are not returned, and an empty table gives no row.
+    ids hold begin and end.  Every text is also encoded, and its ids decoded, by the sentencepiece library;
+    a difference raises ValueError.  A null text is empty; repeated rows give repeated rows, other columns
+    are not returned, and an empty table gives no row.
     """
 
     @tidied

@@ -64,6 +64,19 @@ def test_differences_raise():
         pieces.verify(codec.v.library, names, t, flat, sizes, [b"One river", *decoded[1:]])
 
 
+def test_every_decoded_text_is_compared():
+    codec = pieces.Codec(PIECES)
+    t = [x or "" for x in texts(13, 12)] + [" a", "  a", " ", ""]
+    flat, sizes = codec.encode(t)
+    decoded = codec.decode(flat, sizes)
+    names = pa.array(range(100, 100 + len(t)))
+    pieces.verify(codec.v.library, names, t, flat, sizes, decoded)
+    for k in range(len(t)):
+        with pytest.raises(ValueError, match=f"document {100 + k} "):
+            pieces.verify(codec.v.library, names, t, flat, sizes, [*decoded[:k], decoded[k] + b"x", *decoded[k + 1 :]])
+        pieces.verify(codec.v.library, names[k : k + 1], t[k : k + 1], flat[sizes[:k].sum() : sizes[: k + 1].sum()], sizes[k : k + 1], decoded[k : k + 1])
+
+
 def test_piece_codes(spark):
     rows = [(k, t, "x") for k, t in enumerate(texts(9, 20))] + [(None, "null id", "x"), (2, "again", "y")]
     out = pieces.piece_codes(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string"), PIECES, keep=True).collect()
