@@ -290,8 +290,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     written to the shared folder; their number grows with the logarithm of the nodes.  When `UNITED` edges or
     fewer are left between the centres, one task finishes.
     """
-    # ends as (u, v) with u > v
-    todo = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    # ends as (u, v) with u > v; repeats go with the first round, as few edges need no shuffle
+    todo = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v"), "edges")
     labels: DataFrame | None = None
 
     def contracted(stars: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import lots, opens_of, tidied, unskewed, written
+from emberlog.llm.common import lots, opens_of, ranges, tidied, unskewed, written
 
 DIRECT, FEW, LEVELS = 512, 32, 8
 ROWS, BYTES = 128, 1 << 20
@@ -179,3 +179,97 @@ def family_links(items: DataFrame, similar: int) -> DataFrame:
         all_of = members.where("not linked and node <> rep").join(ends, "rep").select("a", F.col("node").alias("b"))
         out = links.unionByName(out).unionByName(all_of)
     return written(out, "links")
+
+
+#: Families of so many items in all, and so many products of rows and items of a family, are joined by one task.
+ITEMS, PRODUCTS = 1 << 21, 1 << 31
+#: Pairs that such a task counts at once.
+CELLS = 1 << 22
+
+
+def _joined(node: np.ndarray, comp: np.ndarray, n: np.ndarray, items: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one family, enough of them to connect what all connect.
+
+    Frequent shingles are counted by products of the incidence matrix, the others by their lists of
+    sets.  With N sets of M shingles in all either costs O(N * M).
+    """
+    none = np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    _, number = np.unique(items, return_inverse=True)
+    by = np.argsort(number, kind="stable")
+    row, number = row[by], number[by]
+    opens = opens_of(number)
+    sizes = np.diff(np.append(opens, len(number)))
+    if not len(opens):
+        return none, none
+    # a shingle of one component alone is in no pair that is asked for
+    mixed = np.minimum.reduceat(comp[row], opens) < np.maximum.reduceat(comp[row], opens)
+    able = 100 * np.bincount(row[np.repeat(mixed, sizes)], minlength=len(n)) >= similar * n
+    place = np.cumsum(able) - 1
+    keep = np.repeat(mixed, sizes) & able[row]
+    row, number = place[row[keep]], number[keep]
+    node, n = node[able], n[able]
+    comp = np.unique(comp[able], return_inverse=True)[1]
+    opens = opens_of(number)
+    sizes = np.diff(np.append(opens, len(number)))
+    rows = len(n)
+
+    hot = sizes > max(rows // 8, 1)
+    dense = np.zeros((rows, int(hot.sum())), np.float32)
+    dense[row[np.repeat(hot, sizes)], np.repeat(np.arange(dense.shape[1]), sizes[hot])] = 1
+    rare = np.repeat(~hot, sizes)
+    mine, start, count = row[rare], np.repeat(opens[~hot], sizes[~hot]), np.repeat(sizes[~hot], sizes[~hot])
+    by = np.argsort(mine, kind="stable")
+    mine, start, count = mine[by], start[by], count[by]
+    total = np.append(0, np.cumsum(count))
+
+    a, b = [none], [none]
+    step = max(1, CELLS // max(rows, 1))
+    for first in range(0, rows, step):
+        part = slice(first, min(first + step, rows))
+        common = np.rint(dense[part] @ dense.T).astype(np.int32)
+        at, end = np.searchsorted(mine, (part.start, part.stop))
+        while at < end:
+            to = min(end, max(at + 1, int(np.searchsorted(total, total[at] + CELLS, side="right")) - 1))
+            cells = np.repeat(mine[at:to] - first, count[at:to]) * rows + row[ranges(start[at:to], count[at:to])]
+            common += np.bincount(cells, minlength=common.size).astype(np.int32).reshape(common.shape)
+            at = to
+        ok = (comp[part, None] != comp[None, :]) & (100 * common.astype(np.int64) >= similar * (n[part, None] + n[None, :] - common))
+        x, y = np.nonzero(ok)
+        x += first
+        one = np.unique(comp[x] * rows + comp[y], return_index=True)[1]  # of each pair of components
+        one = one[spanning(comp[x[one]], comp[y[one]])]
+        for p, q in zip(x[one].tolist(), y[one].tolist(), strict=True):
+            comp[comp == comp[q]] = comp[p]
+        a.append(node[x[one]])
+        b.append(node[y[one]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _together(similar: int):
+    """Links of all families that the task gets."""
+
+    @tidied
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        items = pa.Table.from_batches(held).combine_chunks().sort_by("key").combine_chunks().to_batches()[0]
+        opens = opens_of(np.asarray(items.column("key")))
+        for first, last in zip(opens.tolist(), [*opens[1:].tolist(), items.num_rows], strict=True):
+            part = items.slice(first, last - first)
+            node, comp = (np.asarray(part.column(x)) for x in ("node", "comp"))
+            lists = part.column("set")
+            a, b = _joined(node, comp, np.diff(np.asarray(lists.offsets)).astype(np.int64), np.asarray(lists.flatten()), similar)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return together
+
+
+def links_of(items: DataFrame, similar: int) -> DataFrame:
+    """What `family_links` gives.  Little work is done by one task: there the levels would cost many jobs, whatever they hold."""
+    held = items.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.col("n").cast("long")).alias("held"))
+    most = held.agg(F.sum("held").alias("held"), F.sum(F.col("c").cast("double") * F.col("held")).alias("products")).first()
+    if (most.held or 0) > ITEMS or (most.products or 0) > PRODUCTS:
+        return family_links(items, similar)
+    return written(items.select("key", "node", "comp", "set").coalesce(1).mapInArrow(_together(similar), LINK), "links")

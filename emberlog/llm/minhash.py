@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import buffers, connected_components, lots, mix64, opens_of, ranges, release, sliced, tidied, words_of, written
-from emberlog.llm.families import family_links
+from emberlog.llm.families import links_of
 
 CHUNKS, WIDTH, ERRORS = 8, 5, 1
 COMPONENTS = CHUNKS * WIDTH
@@ -301,7 +301,7 @@ def components(docs: DataFrame, maker: Maker, similar: int, id_col: str, text_co
         family = connected_components(heavy.select(F.col("node").alias("a"), F.col("hub").alias("b"))).select("node", F.col("component").alias("key"))
         family = written(family.join(heavy.select("node", "comp").distinct(), "node"), "family")
         full = family.join(sets_of(family.select("node")), "node").select("key", "node", "comp", F.size("set").alias("n"), "set")
-        links = links.union(family_links(written(full, "full"), similar))
+        links = links.union(links_of(written(full, "full"), similar))
         labels = connected_components(links)
     release(spark, members)
 

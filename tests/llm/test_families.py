@@ -60,6 +60,39 @@ def test_like_brute_force(spark, monkeypatch, seed, limits):
     assert roots(len(sets), known + mine) == roots(len(sets), known + alike)
 
 
+@pytest.mark.parametrize(("seed", "cells"), [(1, 1 << 22), (2, 700), (6, 50)])
+def test_few_rows_together(spark, monkeypatch, seed, cells):
+    """One task finds what the levels find, without their jobs."""
+    monkeypatch.setattr(families, "CELLS", cells)
+    monkeypatch.setattr(families, "family_links", None)
+    sets, comps, alike = family(seed)
+    rows = [(7, k, c, len(s), list(s)) for k, (s, c) in enumerate(zip(sets, comps, strict=True))]
+    rows += [(8, 10_000 + k, 10_000 + c, n, s) for _, k, c, n, s in rows]
+    got = [tuple(x) for x in families.links_of(spark.createDataFrame(rows, "key long, node long, comp long, n int, set array<long>"), 80).collect()]
+    for low in (0, 10_000):
+        mine = [(a - low, b - low) for a, b in got if low <= a < low + 10_000 and low <= b < low + 10_000]
+        assert all(similar(sets[a], sets[b]) for a, b in mine) and len(mine) * 2 == len(got)
+        known = list(enumerate(comps))
+        assert roots(len(sets), known + mine) == roots(len(sets), known + alike)
+
+
+@pytest.mark.parametrize("limit", ["ITEMS", "PRODUCTS"])
+def test_more_rows_by_levels(spark, monkeypatch, limit):
+    """Beyond either limit nothing is left to one task."""
+    monkeypatch.setattr(families, limit, 1000)
+    monkeypatch.setattr(families, "_together", None)
+    monkeypatch.setattr(families, "DIRECT", 4)
+    sets, comps, alike = family(3)
+    rows = [(7, k, c, len(s), list(s)) for k, (s, c) in enumerate(zip(sets, comps, strict=True))]
+    got = [tuple(x) for x in families.links_of(spark.createDataFrame(rows, "key long, node long, comp long, n int, set array<long>"), 80).collect()]
+    known = list(enumerate(comps))
+    assert roots(len(sets), known + got) == roots(len(sets), known + alike)
+
+
+def test_no_family_at_all(spark):
+    assert families.links_of(spark.createDataFrame([], "key long, node long, comp long, n int, set array<long>"), 80).count() == 0
+
+
 @pytest.mark.parametrize("few", [0, 40, 1 << 16])
 def test_components(spark, monkeypatch, few):
     """By rounds, by rounds and one task for the rest, and by one task."""

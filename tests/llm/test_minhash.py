@@ -57,6 +57,20 @@ def test_blocks_and_rounds(spark, monkeypatch):
     check(spark, corpus(2, 3, 25), 5)
 
 
+def test_blocks_and_rounds_by_levels(spark, monkeypatch):
+    """As above, with no family small enough for one task."""
+    monkeypatch.setattr(families, "ITEMS", 0)
+    test_blocks_and_rounds(spark, monkeypatch)
+
+
+def test_a_large_group_takes_few_jobs(spark, monkeypatch):
+    """A group of near copies that meet in large buckets needs no level of its own: those cost up to 30 jobs each."""
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(families, "DIRECT", 8)
+    monkeypatch.setattr(families, "family_links", None)
+    check(spark, corpus(2, 3, 25), 5)
+
+
 def test_empty_table_nulls_and_repeats(spark):
     df = spark.createDataFrame([(None, "a b c", 1), (7, "a b c", 2), (7, "a b c", 2), (None, None, 3), (9, None, 4)], "doc_id long, text string, n long")
     got = sorted(map(str, map(tuple, minhash.near_duplicates(df).collect())))
